@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldrecon import vocab
-from fieldrecon.functions.text import found, lookup
+from fieldrecon.functions.text import found, let, lookup
 
 _MONTH_WORDS = "|".join(sorted(vocab.MONTH_NUMBER, key=len, reverse=True))
 _MONTHS = {k: f"{v:02d}" for k, v in vocab.MONTH_NUMBER.items()}
@@ -30,8 +30,10 @@ def parse_dmy_date(text: Column) -> Column:
 def parse_date_multi(text: Column) -> Column:
     """First valid of `D Month YYYY`, YYYY-MM-DD, DD-MM-YYYY."""
     shape = rf"(?i)([0-9]{{1,2}})\s+({_MONTH_WORDS})\s+([0-9]{{4}})"
-    month = lookup(F.lower(found(text, shape, 2)), _MONTHS)
-    worded = _date(found(text, shape, 3), month, found(text, shape, 1))
+    worded = let(
+        found(text, shape, 0),
+        lambda m: _date(found(m, shape, 3), lookup(F.lower(found(m, shape, 2)), _MONTHS), found(m, shape, 1)),
+    )
     return F.coalesce(worded, parse_iso_date(text), parse_dmy_date(text))
 
 
