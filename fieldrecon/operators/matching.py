@@ -130,13 +130,16 @@ def category_minutes(categories: DataFrame, durations: DataFrame, labour: DataFr
 
 
 # --- photo sets --------------------------------------------------------------------
-MILESTONE_BIT = F.when(C("milestone") == 0, 1).when(C("milestone") == 50, 2).when(C("milestone") == 100, 4).otherwise(0)
 COMPLETE = 7
 
 
+def milestone_bit() -> Column:
+    return F.when(C("milestone") == 0, 1).when(C("milestone") == 50, 2).when(C("milestone") == 100, 4).otherwise(0)
+
+
 def photo_sets(photos: DataFrame, keys: list[str]) -> DataFrame:
     """One row per set: bitmap of the milestones present and whether all are."""
-    sets = photos.groupBy(*keys).agg(F.bit_or(MILESTONE_BIT).alias("bits"), F.count("*").alias("n_photos"))
+    sets = photos.groupBy(*keys).agg(F.bit_or(milestone_bit()).alias("bits"), F.count("*").alias("n_photos"))
     missing = F.concat_ws(
         ",", *[F.when(C("bits").bitwiseAND(1 << i) == 0, str(m)) for i, m in enumerate(vocab.MILESTONES)]
     )

@@ -230,21 +230,25 @@ def expand_assets(reports: DataFrame, lines: DataFrame) -> DataFrame:
     ids = rows.groupBy("report_id", "identifier").agg(
         F.min(order).alias("first_at"), F.count("*").alias("n"), F.max(F.upper("line").contains("RADIO")).alias("radio")
     )
+    # read twice below, and the identifier rules are the costly part of the job
+    ids = cut_lineage(ids)
     totals = ids.groupBy("report_id").agg(
         F.sum("n").alias("n_lines"), F.min_by("identifier", "first_at").alias("first_identifier"),
         F.max("radio").alias("radio"),
     )
-    known = reports.join(totals, "report_id", "left")
     multi = C("category").isin(vocab.MULTI_ASSET_CATEGORIES) & (F.coalesce("n_lines", F.lit(0)) > 1)
-    several = known.filter(multi).join(ids.filter("identifier is not null"), "report_id")
-    several = several.select(*reports.columns, "identifier", C("first_at.*"))
+    known = reports.join(totals, "report_id", "left").withColumn("multi", multi)
+    named = ids.filter("identifier is not null").select(
+        C("report_id").alias("id_report"), C("identifier").alias("id"), C("first_at.*")
+    )
+    pairs = known.join(named, (C("report_id") == C("id_report")) & C("multi"), "left")
     station = text.let(
         text.station_from_name(C("file_name")),
         lambda s: F.when((s == "BOO") & C("radio"), "RADIO_BOO").otherwise(s),
     )
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    single = known.filter(~multi).select(
-        *reports.columns, F.coalesce("first_identifier", station, stem).alias("identifier"),
-        F.lit(0).alias("line_no"), F.lit(0).cast("bigint").alias("part_id"), F.lit(0).cast("bigint").alias("supp_id"),
+    single = F.coalesce("first_identifier", station, F.regexp_replace("file_name", r"\.[^.]*$", ""))
+    pairs = pairs.filter(C("id").isNotNull() | ~C("multi"))
+    return pairs.select(
+        *reports.columns, F.when(C("multi"), C("id")).otherwise(single).alias("identifier"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("line_no", "part_id", "supp_id")],
     )
-    return several.unionByName(single)

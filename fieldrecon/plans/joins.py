@@ -160,7 +160,7 @@ SQL_CATS = f"cats AS (SELECT *, {sql_category('upper(file_name)')} AS category F
 def j5(spark, sf):
     reports = classified(spark, sf).select("report_id", "category")
     minutes = matching.category_minutes(reports, vocab.durations(spark), vocab.labour(spark))
-    return reports.join(minutes, "category").select("report_id", "category", "minutes", "duration_source")
+    return reports.join(minutes, "category", "left").select("report_id", "category", "minutes", "duration_source")
 
 
 @query(

@@ -9,12 +9,14 @@ from fieldrecon.functions import dates, text
 from fieldrecon.operators import audit, matching, ordering, planning
 from fieldrecon.plans.common import oracle, query, view
 from fieldrecon.plans.joins import SQL_CATS, SQL_MINUTES, classified
-from fieldrecon.plans.rules import sql_date_multi, sql_file_station, sql_identifier, sql_region
+from fieldrecon.plans.rules import sql_date_multi, sql_file_station, sql_identifier, sql_line_category, sql_region
 
 C = F.col
 
 SQL_ASSETS = f"""{SQL_CATS},
-ids AS (SELECT l.report_id, c.category, {sql_identifier('l.line', 'c.category')} AS identifier, line, line_no, part_id, supp_id FROM b_asset_line l JOIN cats c USING (report_id)),
+ids AS (SELECT report_id, category, {sql_identifier('line', 'k')} AS identifier, line, line_no, part_id, supp_id FROM (
+  SELECT l.*, c.category, CASE WHEN c.category = 'UNKNOWN' THEN coalesce({sql_line_category('l.line')}, 'UNKNOWN') ELSE c.category END AS k
+  FROM b_asset_line l JOIN cats c USING (report_id))),
 tot AS (SELECT report_id, count(*) AS n_lines, arg_min_null(identifier, (line_no, part_id, supp_id)) AS first_identifier, bool_or(contains(upper(line), 'RADIO')) AS radio FROM ids GROUP BY 1),
 multi AS (SELECT c.report_id FROM cats c JOIN tot USING (report_id) WHERE c.category IN ('SINYAL', 'WESEL', 'AXC') AND n_lines > 1),
 assets AS (
@@ -88,11 +90,12 @@ _SQL_BASE = oracle("b_report", "b_asset_line", "b_page_text") + "," + SQL_ITEMS
 def plan_items(spark, sf):
     """Dated assets with region and minutes; reports without a date drop out."""
     assets = planned_assets(spark, sf).withColumn("region", text.region_of_identifier(C("identifier"))["region"])
-    dims = matching.category_minutes(assets, vocab.durations(spark), vocab.labour(spark))
+    names = spark.createDataFrame([(c,) for c in [*vocab.CATEGORIES, "UNKNOWN"]], "category string")
+    dims = matching.category_minutes(names, vocab.durations(spark), vocab.labour(spark))
     dated = view(spark, sf, "b_page_text").select(
         "report_id", dates.parse_date_multi(C("text")).alias("plan_date"), text.core_count(C("text")).alias("cores")
     ).filter("plan_date is not null")
-    rows = assets.join(dated, "report_id").join(dims.select("category", C("minutes").alias("m"), "asset_id"), "category")
+    rows = assets.join(dated, "report_id").join(dims.select("category", C("minutes").alias("m"), "asset_id"), "category", "left")
     fibre = (C("category") == "SERAT OPTIK") & (C("cores") > 0)
     minutes = F.when(fibre, C("cores") * vocab.MINUTES_PER_CORE).otherwise(C("m")).cast("int")
     return rows.select("region", "plan_date", "path", "ord", "report_id", "category", "identifier", minutes.alias("minutes"), "asset_id")
@@ -103,7 +106,7 @@ def plan_items(spark, sf):
 SQL_PLAN = _SQL_BASE.replace("WITH b_report", "WITH RECURSIVE b_report", 1) + """,
 seq AS (SELECT *, date_diff('day', DATE '1970-01-01', plan_date) AS d, row_number() OVER (PARTITION BY region ORDER BY plan_date, path, ord) AS k,
                sum(minutes) OVER (PARTITION BY region ORDER BY plan_date, path, ord ROWS UNBOUNDED PRECEDING) AS cum FROM items),
-fits AS (SELECT s.region, s.k, s.d, max(t.k) AS last_fit FROM seq s ASOF JOIN seq t ON s.region = t.region AND s.cum - s.minutes + 660 >= t.cum GROUP BY 1, 2, 3),
+fits AS (SELECT region, k, d, count(*) OVER (PARTITION BY region ORDER BY cum RANGE BETWEEN UNBOUNDED PRECEDING AND greatest(660 - minutes, 0) FOLLOWING) AS last_fit FROM seq),
 due AS (SELECT region, d, max(k) AS last_due FROM seq GROUP BY 1, 2),
 days AS (SELECT r.region, g.d, (SELECT max(last_due) FROM due u WHERE u.region = r.region AND u.d <= g.d) AS last_due
          FROM (SELECT DISTINCT region FROM seq) r, (SELECT unnest(generate_series((SELECT min(d) FROM seq), (SELECT max(d) + 4000 FROM seq))) AS d) g),
@@ -116,7 +119,8 @@ shifts AS (
   JOIN seq s ON s.region = n.region AND s.k = n.k),
 plan AS (
   SELECT s.*, h.b, s.cum - s.minutes - (o.cum - o.minutes) AS start_in
-  FROM seq s ASOF JOIN shifts h ON s.region = h.region AND s.k >= h.k JOIN seq o ON o.region = h.region AND o.k = h.k),
+  FROM seq s JOIN (SELECT *, lead(k, 1, 1000000000) OVER (PARTITION BY region ORDER BY k) AS next_k FROM shifts) h
+    ON s.region = h.region AND s.k >= h.k AND s.k < h.next_k JOIN seq o ON o.region = h.region AND o.k = h.k),
 plan_out AS (SELECT region, path, identifier, category, minutes, report_id, b % 2 + 1 AS team, DATE '1970-01-01' + cast(b // 2 AS int) AS plan_day, start_in, asset_id FROM plan)"""
 
 _PLAN_SELECT = """ SELECT region, path, identifier, minutes, cast(plan_day AS varchar) AS plan_day, team,
