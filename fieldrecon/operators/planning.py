@@ -104,14 +104,23 @@ def cut_segments(items: DataFrame, order: list[str]) -> DataFrame:
     return cut_lineage(ranged)
 
 
+def _by_day(pdf: pd.DataFrame) -> Iterator[tuple[int, slice]]:
+    """(day, rows) of a segment group that is sorted by day."""
+    days = pdf["day"].to_numpy()
+    cuts = np.flatnonzero(np.diff(days)) + 1
+    for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(days))):
+        yield int(days[lo]), slice(int(lo), int(hi))
+
+
 def _tables(capacity: int):
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "ord"], kind="stable")
-        after, opened = segment_table(pdf["minutes"].to_numpy(np.int64), capacity)
-        return pd.DataFrame(
-            {"region": [pdf["region"].iat[0]], "day": [pdf["day"].iat[0]], "seg": [pdf["seg"].iat[0]],
-             "after": [after.tolist()], "opened": [opened.tolist()]}
-        )
+        pdf = pdf.sort_values(["day", "path", "ord"], kind="stable")
+        minutes = pdf["minutes"].to_numpy(np.int64)
+        rows = [(day, *segment_table(minutes[part], capacity)) for day, part in _by_day(pdf)]
+        out = pd.DataFrame(rows, columns=["day", "after", "opened"])
+        out.insert(0, "region", pdf["region"].iat[0])
+        out.insert(2, "seg", pdf["seg"].iat[0])
+        return out
 
     return summarise
 
@@ -132,12 +141,13 @@ def _starts(teams: int):
 
 def _places(capacity: int, columns: list[str]):
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "ord"], kind="stable")
-        shift, start = place_segment(pdf["minutes"].to_numpy(np.int64), capacity, int(pdf["clock0"].iat[0]))
-        out = pdf[columns].copy()
-        out["shift"] = pdf["shift0"].to_numpy(np.int64) + shift
-        out["start"] = start
-        return out
+        pdf = pdf.sort_values(["day", "path", "ord"], kind="stable")
+        minutes, clock = pdf["minutes"].to_numpy(np.int64), pdf["clock0"].to_numpy()
+        shift, start = pdf["shift0"].to_numpy(np.int64).copy(), np.zeros(len(pdf), dtype=np.int64)
+        for _, part in _by_day(pdf):
+            opened, start[part] = place_segment(minutes[part], capacity, int(clock[part.start]))
+            shift[part] += opened
+        return pdf[columns].assign(shift=shift, start=start)
 
     return place
 
@@ -157,7 +167,8 @@ def pack_shifts(
     items = items.withColumn("day", F.datediff("plan_date", F.lit(EPOCH).cast("date")))
     cut = cut_segments(items, ["region", "day", "path", "ord"])
 
-    tables = cut.select(*keys, "path", "ord", "minutes").groupBy(*keys).applyInPandas(
+    # one call per region and range partition: its days are handled together
+    tables = cut.select(*keys, "path", "ord", "minutes").groupBy("region", "seg").applyInPandas(
         _tables(capacity), "region string, day int, seg int, after array<int>, opened array<bigint>"
     )
     starts = tables.groupBy("region").applyInPandas(
@@ -165,7 +176,7 @@ def pack_shifts(
     )
     columns = [c for c in cut.columns if c not in ("seg",)]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in columns)
-    placed = cut.join(starts, keys).groupBy(*keys).applyInPandas(
+    placed = cut.join(starts, keys).groupBy("region", "seg").applyInPandas(
         _places(capacity, columns), schema + ", shift bigint, start bigint"
     )
     plan_day = F.date_add(F.lit(EPOCH).cast("date"), F.floor(C("shift") / teams).cast("int"))
