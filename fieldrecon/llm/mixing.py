@@ -11,8 +11,8 @@ and the demand of all sources up to that time into a position.  Positions are
 spread evenly over words, so a sort by range needs no sample of the data.
 
 Passes are over whole documents: `target // size` full ones, then documents in
-order while they fit, then the one whose size comes closest to what is missing,
-if taking it comes closer to the target than leaving it.
+order up to the first that doesn't fit, then a few that fill what is missing
+best, the last of them if taking it comes closer to the target than leaving it.
 
 Hot sources are cut into hash ranges of about `ROWS` documents; only sums per
 range meet in a window.  Cases: a null or blank text has size 0 and is never
@@ -30,6 +30,8 @@ from fieldrecon.llm.common import WORD, join_on, register, save, small, table, t
 #: documents in one hash range of a source
 ROWS = 20_000
 MAX_EPOCHS = 3
+#: documents of a source that may be picked to fill the last pass
+CLOSINGS = 3
 WEIGHTS = (5, 2, 1)
 #: relative weight at the start and the end of training for each entry of WEIGHTS: heavy sources fade, light ones grow
 TREND = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -109,17 +111,24 @@ def plan(size: DataFrame, schedule=None, max_epochs: int = MAX_EPOCHS) -> tuple[
     docs = docs.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("total"))
     docs = docs.withColumn("fits", (F.col("size") > 0) & (F.col("demand") + F.col("size") <= F.col("rest")))
     docs = save(docs.drop("start", "inside", "docs", "range", "place"), "demand")
-    # what the whole documents of the last pass leave open, and the document that fills it best
-    filled = docs.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("filled"), F.first("rest").alias("rest"))
-    filled = filled.select("source", "filled", (F.col("rest") - F.col("filled")).alias("open"))
-    # repeated rows share id and key: only the first of them in order may close
-    spare = join_on(docs.filter("size > 0 and not fits"), small(save(filled, "filled")), ["source"])
-    miss = F.abs(F.col("size") - F.col("open"))
-    closing = spare.filter(miss < F.col("open")).groupBy("source", "filled").agg(F.min(F.struct(miss.alias("miss"), "hash", "demand")).alias("c"))
-    closing = closing.select("source", "filled", F.col("c.hash").alias("close_hash"), F.col("c.demand").alias("close_demand"))
-    docs = join_on(docs, small(save(closing, "closing")), ["source"], "left")
-    closes = F.coalesce((F.col("hash") == F.col("close_hash")) & (F.col("demand") == F.col("close_demand")), F.lit(False))
-    docs = docs.withColumn("closes", closes & ~F.col("fits") & (F.col("size") > 0))
+    # what the whole documents of the last pass leave open, and the documents that fill it best
+    state = docs.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("filled"), F.first("rest").alias("rest"))
+    state = save(state, "filled")
+    spare, closing = docs.filter("size > 0 and not fits"), None
+    for turn in range(1, CLOSINGS + 1):
+        left = join_on(spare, small(state.withColumn("open", F.col("rest") - F.col("filled")).select("source", "filled", "open")), ["source"])
+        if closing is not None:
+            left = join_on(left, closing.select("source", "hash", "demand"), ["source", "hash", "demand"], "left_anti")
+        miss = F.col("open") - F.col("size")
+        left = left.filter(F.abs(miss) < F.col("open") if turn == CLOSINGS else miss >= 0)
+        one = left.groupBy("source", "filled").agg(F.min(F.struct(F.abs(miss).alias("miss"), "hash", "demand", "size")).alias("c"))
+        one = save(one.select("source", "filled", "c.hash", "c.demand", "c.size"), "closing")
+        closing = one if closing is None else closing.unionByName(one)
+        more = one.select("source", F.col("size").alias("more"))
+        state = save(join_on(state, more, ["source"], "left").select("source", (F.col("filled") + F.coalesce("more", F.lit(0))).alias("filled"), "rest"), "filled")
+    found = closing.select("source", "hash", "demand", F.col("filled").alias("closes_at"))
+    docs = join_on(docs, small(save(found, "closings")), ["source", "hash", "demand"], "left")
+    docs = docs.withColumn("closes_at", F.when((F.col("size") > 0) & ~F.col("fits"), F.col("closes_at"))).withColumn("closes", F.col("closes_at").isNotNull())
     return docs.withColumn("copies", F.col("full") * (F.col("size") > 0).cast("int") + (F.col("fits") | F.col("closes")).cast("int")), goals
 
 
@@ -146,7 +155,7 @@ def assign(docs: DataFrame, goals: DataFrame) -> DataFrame:
     goals = save(goals.withColumn("areas", _areas("knots")), "areas")
     taken = docs.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     # a closing document comes behind the others of the last pass
-    spent = (F.col("pass") - 1) * F.col("total") + F.when(F.col("closes") & (F.col("pass") > F.col("full")), F.col("filled")).otherwise(F.col("demand"))
+    spent = (F.col("pass") - 1) * F.col("total") + F.when(F.col("closes") & (F.col("pass") > F.col("full")), F.col("closes_at")).otherwise(F.col("demand"))
     taken = join_on(taken.withColumn("share", F.least(spent / F.col("target"), F.lit(1.0))), small(goals.select("source", "knots", "areas")), ["source"])
     taken = taken.withColumn("time", _time("knots", "areas", F.col("share")))
     # demand of all sources up to a time: a polynomial on each piece, summed over the sources of one set of knots
