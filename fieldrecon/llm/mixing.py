@@ -11,8 +11,8 @@ and the demand of all sources up to that time into a position.  Positions are
 spread evenly over words, so a sort by range needs no sample of the data.
 
 Passes are over whole documents: `target // size` full ones, then documents in
-order up to the first that doesn't fit, then a few that fill what is missing
-best, the last of them if taking it comes closer to the target than leaving it.
+order up to the first that doesn't fit, then such of the next CLOSERS as fill what
+is missing, the last of them if taking it comes closer to the target than leaving it.
 
 Hot sources are cut into hash ranges of about `ROWS` documents; only sums per
 range meet in a window.  Cases: a null or blank text has size 0 and is never
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from fieldrecon.llm.common import WORD, join_on, register, save, small, table, text_key
 
 #: documents in one hash range of a source
-ROWS = 20_000
+ROWS = 2_000
 MAX_EPOCHS = 3
-#: documents of a source that may be picked to fill the last pass
-CLOSINGS = 3
+#: documents of a source, next in its order, from which the end of the last pass is filled
+CLOSERS = 64
 WEIGHTS = (5, 2, 1)
 #: relative weight at the start and the end of training for each entry of WEIGHTS: heavy sources fade, light ones grow
 TREND = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -113,25 +113,35 @@ def plan(size: DataFrame, schedule=None, max_epochs: int = MAX_EPOCHS) -> tuple[
     docs = save(docs.drop("start", "inside", "docs", "range", "place"), "demand")
     # what the whole documents of the last pass leave open, and the documents that fill it best
     state = docs.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("filled"), F.first("rest").alias("rest"))
-    state = save(state, "filled")
-    spare, closing = docs.filter("size > 0 and not fits"), None
-    for turn in range(1, CLOSINGS + 1):
-        left = join_on(spare, small(state.withColumn("open", F.col("rest") - F.col("filled")).select("source", "filled", "open")), ["source"])
-        if closing is not None:
-            left = join_on(left, closing.select("source", "hash", "demand"), ["source", "hash", "demand"], "left_anti")
-        miss = F.col("open") - F.col("size")
-        left = left.filter(F.abs(miss) < F.col("open") if turn == CLOSINGS else miss >= 0)
-        one = left.groupBy("source", "filled").agg(F.min(F.struct(F.abs(miss).alias("miss"), "hash", "demand", "size")).alias("c"))
-        one = save(one.select("source", "filled", "c.hash", "c.demand", "c.size"), "closing")
-        closing = one if closing is None else closing.unionByName(one)
-        more = one.select("source", F.col("size").alias("more"))
-        state = save(join_on(state, more, ["source"], "left").select("source", (F.col("filled") + F.coalesce("more", F.lit(0))).alias("filled"), "rest"), "filled")
-    found = closing.select("source", "hash", "demand", F.col("filled").alias("closes_at"))
+    next_ = F.row_number().over(Window.partitionBy("source").orderBy("demand", "hash"))
+    spare = docs.filter("size > 0 and not fits").withColumn("next", next_).filter(F.col("next") <= CLOSERS)
+    spare = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "hash", "demand")), asc=False).alias("spare"))
+    found = join_on(state, spare, ["source"]).select("source", F.explode(_closers()).alias("c")).select("source", "c.hash", "c.demand", "c.closes_at")
     docs = join_on(docs, small(save(found, "closings")), ["source", "hash", "demand"], "left")
     docs = docs.withColumn("closes_at", F.when((F.col("size") > 0) & ~F.col("fits"), F.col("closes_at"))).withColumn("closes", F.col("closes_at").isNotNull())
     return docs.withColumn("copies", F.col("full") * (F.col("size") > 0).cast("int") + (F.col("fits") | F.col("closes")).cast("int")), goals
 
 
+def _closers():
+    """Of the documents after the last that fits: large ones first, each that still fits, then the nearest."""
+    start = F.struct(F.col("filled").alias("at"), F.expr("cast(array() as array<struct<hash:bigint,demand:bigint,closes_at:bigint>>)").alias("took"))
+
+    def pick(s, x):
+        return F.array_append(s["took"], F.struct(x["hash"], x["demand"], s["at"].alias("closes_at")))
+
+    greedy = F.aggregate(
+        "spare", start, lambda s, x: F.when(s["at"] + x["size"] <= F.col("rest"), F.struct((s["at"] + x["size"]).alias("at"), pick(s, x).alias("took"))).otherwise(s)
+    )
+
+    def finish(s):
+        left = F.filter("spare", lambda x: ~F.exists(s["took"], lambda t: (t["hash"] == x["hash"]) & (t["demand"] == x["demand"])))
+        open_ = F.col("rest") - s["at"]
+        best = F.array_min(F.transform(left, lambda x: F.struct(F.abs(open_ - x["size"]).alias("miss"), x["hash"].alias("hash"), x["demand"].alias("demand"))))
+        return F.when(best["miss"] < open_, pick(s, best)).otherwise(s["took"])
+
+    return F.get(F.transform(F.array(greedy), finish), 0)
+
+
 def _time(knots: str, areas: str, u):
     """Inverse of the integrated schedule: the time at which the share `u` of the source's demand is spent."""
     k, a = F.col(knots), F.col(areas)

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load():
     """(queries, oracles) of every operator here."""
-    from fieldrecon.llm import common, exact_dedup, mixing  # noqa: F401
+    from fieldrecon.llm import common, exact_dedup, mixing, near_dedup, packing, quality_rules, warc  # noqa: F401
 
     return common.QUERIES, common.ORACLES
