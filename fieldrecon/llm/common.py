@@ -68,3 +68,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def text_key(text: str = "text"):
     """Hash that stands for a text in join keys next to the row's id (null is not empty)."""
     return F.xxhash64(F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
+
+
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns c0, c1, ... and the new name of each old one: names of its columns can't clash with ours."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+def unshield(df: DataFrame, at: dict[str, str]) -> DataFrame:
+    """The columns that `shield` renamed, under their old names."""
+    return df.select(*at.values()).toDF(*at)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import WORD, join_on, register, save, small, table, text_key
+from fieldrecon.llm.common import WORD, join_on, register, save, shield, small, table, text_key
 
 #: documents in one hash range of a source
 ROWS = 2_000
@@ -214,7 +214,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mixed documents in training order: each as often as it is taken, sorted by range of position."""
     planned, copies = curriculum(docs, doc_id, text, source, schedule, max_epochs)
     copies = copies.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("position").alias("_position"))
-    rows = docs.select("*", F.col(doc_id).alias("_id"), F.col(source).alias("_source"), text_key(text).alias("_key"))
+    rows, at = shield(docs)
+    rows = rows.select("*", F.col(at[doc_id]).alias("_id"), F.col(at[source]).alias("_source"), text_key(at[text]).alias("_key"))
     keys = ["_id", "_source", "_key"]
     if planned.count() > planned.select("id", "source", "key").distinct().count():
         rows = rows.dropDuplicates(keys)  # repeated rows: their copies are taken from one of them
@@ -222,7 +223,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.least(F.floor(F.col("_position") / (last or 1.0) * parts), F.lit(parts - 1)).cast("int")
     joined = join_on(rows, copies, keys).withColumn("_part", part)
-    return joined.repartitionById(parts, F.col("_part")).sortWithinPartitions("_position").select(*docs.columns)
+    return joined.repartitionById(parts, F.col("_part")).sortWithinPartitions("_position").select(*at.values()).toDF(*at)
 
 
 @register("op3_mixing")

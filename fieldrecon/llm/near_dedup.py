@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import join_on, register, save, small, table, text_key
+from fieldrecon.llm.common import join_on, register, save, shield, small, table, text_key, unshield
 from fieldrecon.llm.shingles import MinHash, shingle_sets
 
 POSITIONS = 64
@@ -255,12 +255,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     gone = save(found.filter(F.col("row_no") != F.col("first_row")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
     stay = found.filter(F.col("row_no") == F.col("first_row")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
     both = save(join_on(stay, gone, ["_id", "_key"], "left_semi"), "again")
-    rows = docs.select("*", F.col(doc_id).alias("_id"), text_key(text).alias("_key"))
+    rows, at = shield(docs)
+    rows = rows.select("*", F.col(at[doc_id]).alias("_id"), text_key(at[text]).alias("_key"))
     kept = join_on(rows, small(gone), ["_id", "_key"], "left_anti")
     if both.limit(1).count():  # rows that repeat id and text of the row that stays
         again = join_on(rows, small(both), ["_id", "_key"], "left_semi")
         kept = kept.unionByName(again.dropDuplicates(["_id", "_key"]))
-    return kept.select(*docs.columns)
+    return unshield(kept, at)
 
 
 @register("op5_minhash_near_dedup")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import GAP, SPACES, join_on, register, save, small, table, text_key
+from fieldrecon.llm.common import GAP, SPACES, join_on, register, save, shield, small, table, text_key, unshield
 
 SYMBOLS = "#*$%&|<>"
 SHINGLE = 8
@@ -121,9 +121,9 @@ def group_fences(measured: DataFrame, lang: str, source: str, min_group: int = M
     own, wider, whole = fences(fine, [lang, source]), fences(merge(fine, [lang]), [lang]), fences(merge(fine, []), [])
     names = [f"{side}_{m}" for m in MEASURES for side in ("lo", "hi")]
     wider = wider.select(lang, F.col("rows").alias("w_rows"), *[F.col(n).alias(f"w_{n}") for n in names])
-    whole = whole.select(*[F.col(n).alias(f"a_{n}") for n in names])
-    d = join_on(own, wider, [lang]).crossJoin(F.broadcast(whole))  # `whole` is one row
-    use = lambda n: F.when(F.col("rows") >= min_group, F.col(n)).when(F.col("w_rows") >= min_group, F.col(f"w_{n}")).otherwise(F.col(f"a_{n}")).alias(n)
+    every = whole.first() or dict.fromkeys(names)  # one row
+    d = join_on(own, wider, [lang])
+    use = lambda n: F.when(F.col("rows") >= min_group, F.col(n)).when(F.col("w_rows") >= min_group, F.col(f"w_{n}")).otherwise(F.lit(every[n])).alias(n)
     return save(d.select(lang, source, *[use(n) for n in names]), "fences")
 
 
@@ -147,8 +147,9 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     verdict = judge(docs, [F.col(doc_id).alias("_id"), text_key(text).alias("_key")], text, lang, source)
     keys = ["_id", "_key", "_lang", "_source"]
     bad = save(verdict.filter(~F.col("kept")).select(*keys).distinct(), "rejected")
-    rows = docs.select("*", F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.col(lang).alias("_lang"), F.col(source).alias("_source"))
-    return join_on(rows, small(bad), keys, "left_anti").select(*docs.columns)
+    rows, at = shield(docs)
+    rows = rows.select("*", F.col(at[doc_id]).alias("_id"), text_key(at[text]).alias("_key"), F.col(at[lang]).alias("_lang"), F.col(at[source]).alias("_source"))
+    return unshield(join_on(rows, small(bad), keys, "left_anti"), at)
 
 
 def _oracle() -> str:

@@ -86,8 +86,9 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "ht
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes one record for each row into archives below `folder`; returns the manifest: path, records, bytes."""
-    rows = with_revisits(pages, page_id, payload)
-    rows = rows.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), "_payload", "_length", "_digest", F.col("_refers_to").cast("long").alias("refers"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.col(payload).alias("payload"))
+    rows = with_revisits(rows, "page", "payload")
+    rows = rows.select("page", "url", "_payload", "_length", "_digest", F.col("_refers_to").cast("long").alias("refers"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
