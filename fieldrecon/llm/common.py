@@ -43,13 +43,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: lineage ends here."""
+def save(df: DataFrame, name: str, temporary: list[str] | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: lineage ends here.
+
+    `temporary` collects the folders of tables that the caller will `drop`.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    if temporary is not None:
+        temporary.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match; the right side's keys are dropped."""
     right = right.select([F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])

@@ -84,22 +84,24 @@ def _slot(bits: int):
     return F.shiftrightunsigned("h", 64 - bits).alias("slot")
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, one record for each distinct normalised text: its best row and the number of rows."""
-    for b in batches:
-        texts, ids = b["_text"].cast(pa.binary()).to_pylist(), b["_id"].to_pylist()
-        points = pc.fill_null(pc.utf8_length(b["_text"]), 0).to_pylist()
-        best: dict[bytes, int] = {}
-        rows: dict[bytes, int] = {}
-        for i, t in enumerate(texts):
-            norm = _normal(t)
-            rows[norm] = rows.get(norm, 0) + 1
-            if (j := best.get(norm)) is None or _order(points[i], ids[i]) < _order(points[j], ids[j]):
-                best[norm] = i
-        digests = [hashlib.sha256(norm).digest() for norm in best]
-        kept = b.take(pa.array(best.values(), pa.int64()))
-        extra = [pa.array([_hash(d) for d in digests], pa.int64()), pa.array([d.hex() for d in digests], pa.string()), pa.array(rows.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*kept.columns, *extra], [*kept.schema.names, "_h", "_sha", "_rows"])
+def _combine(id_: str, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per batch, one record for each distinct normalised text: its best row and the number of rows."""
+        for b in batches:
+            ids, points = b[id_].to_pylist(), pc.fill_null(pc.utf8_length(b[text]), 0).to_pylist()
+            best: dict[bytes, int] = {}
+            rows: dict[bytes, int] = {}
+            for i, t in enumerate(b[text].cast(pa.binary())):
+                norm = _normal(t.as_py())
+                rows[norm] = rows.get(norm, 0) + 1
+                if (j := best.get(norm)) is None or _order(points[i], ids[i]) < _order(points[j], ids[j]):
+                    best[norm] = i
+            digests = [hashlib.sha256(norm).digest() for norm in best]
+            kept = b.take(pa.array(best.values(), pa.int64()))
+            extra = [pa.array([_hash(d) for d in digests], pa.int64()), pa.array([d.hex() for d in digests], pa.string()), pa.array(rows.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *extra], [*kept.schema.names, "_h", "_sha", "_rows"])
+
+    return run
 
 
 def _order(points: int, i) -> tuple:
@@ -107,30 +109,33 @@ def _order(points: int, i) -> tuple:
     return (-points, i is None, 0 if i is None else i)
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records sorted by hash: chain those of one hash, compare bytes, keep one record for each text."""
-    current, chain = None, {}
-    for b in batches:
-        texts, ids, hashes, rows = b["_text"].cast(pa.binary()).to_pylist(), b["_id"].to_pylist(), b["_h"].to_pylist(), b["_rows"].to_pylist()
-        points = pc.fill_null(pc.utf8_length(b["_text"]), 0).to_pylist()
-        done = []
-        for i, h in enumerate(hashes):
-            if h != current:
-                done += chain.values()
-                current, chain = h, {}
-            norm = _normal(texts[i])
-            order = _order(points[i], ids[i])
-            held = chain.get(norm)  # equal bytes, not only equal hashes
-            if held is None:
-                chain[norm] = [order, b.slice(i, 1), rows[i], len(chain)]
-            else:
-                held[2] += rows[i]
-                if order < held[0]:
-                    held[:2] = [order, b.slice(i, 1)]
-        if done:
-            yield _records(done)
-    if chain:
-        yield _records(list(chain.values()))
+def _own(id_: str, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records sorted by hash: chain those of one hash, compare bytes, keep one record for each text."""
+        current, chain = None, {}
+        for b in batches:
+            ids, hashes, rows = b[id_].to_pylist(), b["_h"].to_pylist(), b["_rows"].to_pylist()
+            points = pc.fill_null(pc.utf8_length(b[text]), 0).to_pylist()
+            done = []
+            for i, (h, t) in enumerate(zip(hashes, b[text].cast(pa.binary()), strict=True)):
+                if h != current:
+                    done += chain.values()
+                    current, chain = h, {}
+                norm = _normal(t.as_py())
+                order = _order(points[i], ids[i])
+                held = chain.get(norm)  # equal bytes, not only equal hashes
+                if held is None:
+                    chain[norm] = [order, b.slice(i, 1), rows[i], len(chain)]
+                else:
+                    held[2] += rows[i]
+                    if order < held[0]:
+                        held[:2] = [order, b.slice(i, 1)]
+            if done:
+                yield _records(done)
+        if chain:
+            yield _records(list(chain.values()))
+
+    return run
 
 
 def _records(held: list) -> pa.RecordBatch:
@@ -147,20 +152,21 @@ def build_index(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
     `known` are the `entries` of the same documents, from which the directory is laid out.
     """
     slots, bits = directory(known, capacity)
-    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns], F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns])
+    id_, text = f"c_{doc_id}", f"c_{text}"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    records = rows.mapInArrow(_combine, f"{fields}, _h long, _sha string, _rows long").withColumn("_slot", F.shiftrightunsigned("_h", 64 - bits))
+    records = rows.mapInArrow(_combine(id_, text), f"{fields}, _h long, _sha string, _rows long").withColumn("_slot", F.shiftrightunsigned("_h", 64 - bits))
     where = small(slots.select(F.col("slot").alias("_slot"), F.col("depth").alias("_depth"), F.col("bucket").alias("_bucket")))
     owned = records.join(where, "_slot").drop("_slot").repartition("_depth", "_bucket").sortWithinPartitions("_depth", "_bucket", "_h")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in owned.schema)
-    return save(owned.mapInArrow(_own, f"{kinds}, _chain long").drop("_text"), "index")
+    return save(owned.mapInArrow(_own(id_, text), f"{kinds}, _chain long"), "index")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     known = entries(docs, doc_id, text)
-    index = build_index(docs, known, doc_id, text, capacity)
-    groups = index.select(F.col("_h").alias("h"), F.col("_sha").alias("sha"), F.col("_id").alias("keep_id"), F.col("_rows").alias("group_size"))
+    index = build_index(docs.select(doc_id, text), known, doc_id, text, capacity)
+    groups = index.select(F.col("_h").alias("h"), F.col("_sha").alias("sha"), F.col(f"c_{doc_id}").alias("keep_id"), F.col("_rows").alias("group_size"))
     found = known.join(groups, ["h", "sha"])
     # of rows that repeat id and text, one stays
     again = known.groupBy("id", "h", "sha").agg(F.min("row_no").alias("first"), F.count("*").alias("n")).filter("n > 1")

@@ -11,11 +11,12 @@ the pair shares a key exactly.  Candidates are confirmed on the full sets.
 
 No group is paired with itself:
 1. equal sets are one node, however many documents have them;
-2. in each index bucket every node is compared with the bucket's leader (the node
-   of the smallest hash there, which is the same node in most buckets of a class);
-   this links nearly all of a large class;
-3. only in buckets that still hold nodes of different classes, nodes of different
-   classes within the distance are compared, which makes the result exact.
+2. every index bucket has a leader (the node of the smallest hash, which is the same
+   node in most buckets of a class), and a node is compared with the first LEADERS
+   of its buckets' leaders; ROUNDS rounds of this link nearly all of a large class;
+3. only in buckets that still hold nodes of different classes, every pair of nodes of
+   different classes within the distance is compared, which makes the result exact.
+   A bucket is taken in blocks, and each pair is given out in one bucket only.
 Bucket leaders come from a partial aggregate, joins split hot keys, and the nodes
 compared with one leader are dealt out by the volume of their sets.  Each task
 streams: it holds one leader's set at a time.  Classes are the connected components
@@ -36,10 +37,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import join_on, register, save, shield, small, table, text_key, unshield
+from fieldrecon.llm.common import drop, join_on, register, save, shield, small, table, text_key, unshield
 from fieldrecon.llm.shingles import MinHash, shingle_sets
 
 POSITIONS = 64
@@ -51,8 +52,11 @@ SIMILAR = 75
 BATCH = 1 << 20
 #: shingles compared with one copy of a leader's set
 SHARE = 2_000_000
-#: longs that hold the low bytes of a signature
-LANES = POSITIONS // 8
+#: rounds in which nodes meet leaders of their buckets, and how many of them in each
+ROUNDS = 2
+LEADERS = 3
+#: nodes of a bucket that are compared at a time
+BLOCK = 4096
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -111,25 +115,65 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node[lo : lo + 1000], len(ways)))], ["key", "node"])
 
 
-def _lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of every position, eight to a long: their distance never exceeds that of the signatures."""
-    for b in batches:
-        sig = np.frombuffer(b"".join(b["signature"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        low = np.ascontiguousarray((sig & 0xFF).astype(np.uint8)).view("<i8")
-        yield pa.RecordBatch.from_arrays([b["node"], *[pa.array(low[:, k]) for k in range(LANES)]], ["node", *[f"s{k}" for k in range(LANES)]])
-
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j), a pair of blocks of one bucket: pairs of nodes of different classes that may be similar.
 
-def _differ(a: str, b: str):
-    """Positions whose low bytes differ."""
-    ones = F.lit(0x0101010101010101)
-    total = F.lit(0)
-    for k in range(LANES):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-        for by in (4, 2, 1):  # the lowest bit of a byte becomes the disjunction of all its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        nonzero = x.bitwiseAND(ones)
-        total = total + F.bit_count(nonzero)
-    return total
+    A pair is given out in one bucket only: that of the first key, in the index's order, that both nodes have.
+    """
+    group, held = None, []
+    for b in batches:
+        key, i, j = b["key"].to_numpy(), b["i"].to_numpy(), b["j"].to_numpy()
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out = []
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+            if lo == hi:
+                continue
+            name = (key[lo], i[lo], j[lo])
+            if name != group:
+                out += _close(group, held)
+                group, held = name, []
+            held.append(b.slice(lo, hi - lo))
+        yield _pairs(out)
+    yield _pairs(_close(group, held))
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = [np.empty(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found] or none)) for k in (0, 1)], ["a", "b"])
+
+
+def _close(group, held: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if group is None or sum(b.num_rows for b in held) < 2:
+        return []
+    column = lambda c: np.concatenate([b[c].to_numpy() for b in held])
+    node, root, n, block = column("node"), column("root"), column("n"), column("block")
+    sig = np.frombuffer(b"".join(x for b in held for x in b["signature"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
+    width = POSITIONS // CHUNKS
+    ways = len(list(combinations(range(width), DISTANCE // CHUNKS)))
+    chunk, way = divmod(int(group[0] >> 16 * (width - DISTANCE // CHUNKS)), ways)
+    _, i, j = group
+    found = []
+    for x in np.flatnonzero(block == i).tolist():
+        other = root != root[x]
+        other &= (node > node[x]) if i == j else (block == j)
+        other &= 100 * np.minimum(n, n[x]) >= SIMILAR * np.maximum(n, n[x])
+        y = np.flatnonzero(other)
+        if not y.size:
+            continue
+        same = (sig[y] == sig[x]).reshape(-1, CHUNKS, width).sum(axis=2)
+        shares = same >= width - DISTANCE // CHUNKS
+        first = (shares.argmax(axis=1) == chunk) & ((same[:, chunk] < width) | (way == 0))
+        y = y[first & (same.sum(axis=1) >= POSITIONS - DISTANCE)]
+        found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
+    return found
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures are within the distance."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("x", "y"))
+        near = pa.array((x != y).sum(axis=1) <= DISTANCE)
+        yield pa.RecordBatch.from_arrays([b["a"].filter(near), b["b"].filter(near)], ["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,37 +195,37 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, temporary: list[str]) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  `texts`: (node, n, text)."""
     member = pairs.join(texts.select(F.col("node").alias("b"), "n", "text"), "b")
     # how many copies of the leader's set are needed, and which of them a member meets
     load = pairs.join(texts.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / SHARE).cast("int").alias("shares"))
-    load = save(load, "load")
+    load = save(load, "load", temporary)
     member = member.join(small(load), "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
     leader = load.join(texts.select(F.col("node").alias("a"), "text"), "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     rows = leader.select("a", F.col("a").alias("b"), "share", F.lit(True).alias("is_leader"), "text").unionByName(
         member.select("a", "b", "share", F.lit(False).alias("is_leader"), "text")
     )
     rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.desc("is_leader"))
-    return save(rows.select("a", "b", "is_leader", "text").mapInArrow(_confirm, "a long, b long"), "links")
+    return save(rows.select("a", "b", "is_leader", "text").mapInArrow(_confirm, "a long, b long"), "links", temporary)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, temporary: list[str]) -> DataFrame:
     """(node, root) of every node with a link, root being the smallest node of its component.
 
     Alternates large-star and small-star contraction until every link leads to a root.
     """
-    edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", temporary)
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = save(large, "large")
+        large = save(large, "large", temporary)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
         small_ = star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = save(small_.filter("u <> v").distinct(), "small")
+        edges = save(small_.filter("u <> v").distinct(), "small", temporary)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -191,56 +235,61 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, text_key, row_no, n_shingles, component_id (smallest id of the class), first_row (its row that stays)."""
+    temporary: list[str] = []
     signed = signatures(docs, doc_id, text)
     sets = signed.filter("n_shingles > 0").groupBy("set_id").agg(
         F.min(F.struct("row_no", "id", "text_key", F.col("n_shingles").alias("n"), "signature")).alias("r"),
         F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_no"))).alias("first"),
     )
-    sets = save(sets.select("set_id", F.col("r.row_no").alias("node"), F.col("r.id").alias("id"), F.col("r.text_key").alias("text_key"), "r.n", "r.signature", "first"), "sets")
-    keys = save(sets.select("node", "signature").mapInArrow(_keys, "key long, node long"), "keys")
-    lanes = save(sets.select("node", "signature").mapInArrow(_lanes, "node long, " + ", ".join(f"s{k} long" for k in range(LANES))), "lanes")
+    sets = save(sets.select("set_id", F.col("r.row_no").alias("node"), F.col("r.id").alias("id"), F.col("r.text_key").alias("text_key"), "r.n", "r.signature", "first"), "sets", temporary)
+    keys = save(sets.select("node", "signature").mapInArrow(_keys, "key long, node long"), "keys", temporary)
+    full = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = save(keys.join(full, "key"), "shared", temporary)  # only buckets with two nodes or more matter from here on
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "id", "text_key", "n"), "node")
         rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
-        found = join_on(rows, small(save(need, "need")), ["id", "text_key"])
+        found = join_on(rows, small(save(need, "need", temporary)), ["id", "text_key"])
         # rows that repeat id and text are found more than once
-        return save(found.select("node", "n", "text").dropDuplicates(["node"]), "texts")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        far = pairs.alias("p").join(lanes.alias("x"), F.col("p.a") == F.col("x.node")).join(lanes.alias("y"), F.col("p.b") == F.col("y.node"))
-        return far.filter(_differ("x", "y") <= DISTANCE).select("p.a", "p.b")
-
-    order = F.struct(F.xxhash64("node").alias("hash"), "node")
-    leaders = keys.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("held")).filter("held > 1")
-    leaders = save(leaders.select("key", F.col("lead.node").alias("a")), "leaders")
-    pairs = keys.join(leaders, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    pairs = save(near(pairs), "pairs")
-    links = confirm(pairs, texts_of(pairs))
-    stars = components(links)
-
-    # buckets in which classes still meet: nodes of different classes, within the distance, each pair once
-    shared = keys.join(leaders.select("key"), "key", "left_semi").join(stars, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    shared = save(shared, "shared")
+        return save(found.select("node", "n", "text").dropDuplicates(["node"]), "texts", temporary)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    stars = sets.select("node", F.col("node").alias("root")).limit(0)
+    tried = None
+    for turn in range(ROUNDS):
+        # the first node of every bucket in this round's order, met by nodes of other classes: LEADERS of them for a node
+        rows = rooted(shared).withColumn("order", F.xxhash64("node", F.lit(turn)))
+        lead = rows.groupBy("key").agg(F.min(F.struct("order", "node", "root")).alias("lead"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
+        met = rows.join(lead.select("key", "lead"), "key").filter(F.col("root") != F.col("lead.root")).select("lead.order", F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        met = met.distinct().withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("order", "a"))).filter(F.col("place") <= LEADERS)
+        pairs = met.select("a", "b")
+        signed_pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
+        pairs = save(signed_pairs.select("a", "b", "x", "y").mapInArrow(_near, "a long, b long"), "pairs", temporary)
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = done if tried is None else tried.unionByName(done)
+        stars = components(confirm(pairs, texts_of(pairs), temporary).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
+
+    # buckets in which classes still meet: every pair of nodes of different classes within the distance, block against block
+    shared = rooted(shared)
     mixed = shared.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
-    rows = shared.join(mixed.select("key"), "key", "left_semi").join(lanes, "node")
-    rows = save(rows, "mixed")
-    apart = rows.alias("x").join(
-        rows.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (_differ("x", "y") <= DISTANCE),
-    )
-    more = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = save(more.join(known, ["a", "b"], "left_anti"), "more")
+    rows = shared.join(mixed.select("key"), "key", "left_semi").join(sets.select("node", "n", "signature"), "node")
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = save(rows.select("key", "i", "j", "block", "node", "root", "n", "signature").mapInArrow(_apart, "a long, b long"), "apart", temporary)
+    more = save(more.join(tried, ["a", "b"], "left_anti"), "more", temporary)
     if more.limit(1).count():
-        links = confirm(more, texts_of(more)).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        stars = components(links)
+        stars = components(confirm(more, texts_of(more), temporary).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
 
-    rooted = sets.join(stars, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"), "first")
-    named = save(rooted, "rooted")
+    named = save(rooted(sets.select("node", "set_id", "first")), "rooted", temporary)
     top = named.groupBy("root").agg(F.min("first").alias("top"))
     member = named.join(top, "root").select("set_id", F.col("top.id").alias("component_id"), F.col("top.row_no").alias("first_row"), F.col("root"))
     out = signed.drop("signature").join(save(member, "members"), "set_id", "left")
+    drop(docs.sparkSession, temporary)
     alone = F.col("root").isNull()  # the empty set
     return out.select(
         "id", "text_key", "row_no", "n_shingles",

@@ -5,6 +5,18 @@ from __future__ import annotations
 
 def load():
     """(queries, oracles) of every operator here."""
-    from fieldrecon.llm import common, exact_dedup, mixing, near_dedup, packing, quality_rules, warc  # noqa: F401
+    from fieldrecon.llm import (  # noqa: F401
+        chat,
+        common,
+        exact_dedup,
+        lm_scoring,
+        mixing,
+        near_dedup,
+        packing,
+        quality_classifier,
+        quality_rules,
+        url_filter,
+        warc,
+    )
 
     return common.QUERIES, common.ORACLES

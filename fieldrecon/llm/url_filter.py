@@ -122,8 +122,8 @@ def _derived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 _ORACLE = rf"""
     WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '{HOST}', 1)) AS host,
-            list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), x -> x <> '') AS steps,
-            {START} + ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 7))::BIGINT % {DAYS * 86_400} AS at
+            list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), lambda x: x <> '') AS steps,
+            {START} + ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 7))::BIGINT % {DAYS * 86_400} AS fetched
         FROM pages),
     names AS (SELECT DISTINCT host AS p, 3 AS n FROM u WHERE host <> '' UNION SELECT DISTINCT host || '/' || steps[1], 2 FROM u WHERE len(steps) > 0),
     log AS (SELECT p, k, p || '#' || k AS tag FROM (SELECT p, unnest(range(1, n + 1)) AS k FROM names)),
@@ -136,8 +136,8 @@ _ORACLE = rf"""
     hit AS (SELECT page_id, p, block, valid_from, valid_to,
             row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(p, '/')) DESC, len(string_split(p, '.')) DESC) AS place
         FROM u JOIN held ON (p = host OR ends_with(host, '.' || p) OR (len(steps) > 0 AND p = host || '/' || steps[1]))
-            AND at >= epoch(valid_from) AND (valid_to IS NULL OR at < epoch(valid_to)))
-    SELECT u.page_id, p AS pattern, CASE WHEN block THEN 'block' WHEN NOT block THEN 'allow' END AS verdict, valid_from, valid_to, coalesce(block, false) AS blocked
+            AND fetched >= epoch(valid_from) AND (valid_to IS NULL OR fetched < epoch(valid_to)))
+    SELECT u.page_id, p AS pattern, CASE WHEN block THEN 'block' WHEN NOT block THEN 'allow' END AS verdict, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to, coalesce(block, false) AS blocked
     FROM u LEFT JOIN hit ON u.page_id = hit.page_id AND place = 1
     """
 
@@ -145,4 +145,5 @@ _ORACLE = rf"""
 @register("op2_url_filter", _ORACLE)
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = _derived(table(spark, sf_dir, "pages"))
-    return judge(captures, entries).select("page_id", "pattern", "verdict", "valid_from", "valid_to", "blocked")
+    days = [F.col(c).cast("string").alias(c) for c in ("valid_from", "valid_to")]
+    return judge(captures, entries).select("page_id", "pattern", "verdict", *days, "blocked")
