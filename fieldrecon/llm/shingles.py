@@ -43,33 +43,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunks(data: bytes) -> Iterator[tuple[int, int]]:
-    """Ranges of at most about CHUNK bytes that end at white space."""
+def _chunks(data: bytes, blank: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most about CHUNK bytes that end at a blank."""
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)
-        while end < n and not _BLANK[data[end]]:
+        while end < n and not blank[data[end]]:
             end += 1
         yield at, end
         at = end
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word."""
-    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    data = data.lower()  # bytes: A-Z only
-    for lo, hi in _chunks(data):
+def runs(data: bytes, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every run of bytes between blanks."""
+    hashes, starts, ends = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lo, hi in _chunks(data, blank):
         b = np.frombuffer(data, np.uint8, hi - lo, lo)
-        blank = _BLANK[b]
-        edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        edge = np.flatnonzero(np.diff(blank[b], prepend=True, append=True))
         if not edge.size:
             continue
         start, end = edge[::2], edge[1::2]
-        run = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTES[b] * _power(_P, len(b)), out=run[1:])
-        hashes.append(mix((run[end] - run[start]) * _power(_Q, len(b))[start]))
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[b] * _power(_P, len(b)), out=total[1:])
+        hashes.append(mix((total[end] - total[start]) * _power(_Q, len(b))[start]))
         starts.append(start.astype(np.int64) + lo)
-    return np.concatenate(hashes), np.concatenate(starts)
+        ends.append(end.astype(np.int64) + lo)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+
+
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word, A-Z taken as a-z."""
+    return runs(data.lower(), _BLANK)[:2]  # bytes: A-Z only
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:

@@ -166,9 +166,10 @@ def test_mixing(spark, docs, none):
     for r in got:
         taken[r["source"]] += r["size"] * r["copies"]
     for s in names:
-        least = min((len(words(t)) for _, t, _, x, *_ in rows() if x == s and words(t)), default=0)
+        sizes = [len(words(t)) for _, t, _, x, *_ in rows() if x == s and words(t)] or [0]
         target = next(r["target"] for r in got if r["source"] == s)
-        assert abs(taken[s] - target) <= max(least, 0.02 * target)
+        # whole documents: where one of them outweighs the target, it decides how near the source comes
+        assert abs(taken[s] - target) <= (max(min(sizes), 0.02 * target) if max(sizes) < 0.2 * target else max(sizes) / 2)
     again = mixing.curriculum(docs)[1]
     pick = lambda d: sorted((r["id"] or -1, r["pass"], round(r["position"], 6)) for r in d.collect())
     assert pick(copies) == pick(again)
