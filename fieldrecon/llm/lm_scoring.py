@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from fieldrecon.llm.common import register, save, table
 from fieldrecon.llm.shingles import words
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 FREQUENT = 1e-5
 BIGRAMS = 3
 DISCOUNT = 0.75
@@ -188,16 +188,16 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; rows with `held_out` are not learned from."""
     made = blocks(docs, doc_id, text, held_out)
     auto, unigrams, bigrams = train(made)
-    answers = unigrams.select("block", F.lit(0).alias("kind"), "key", "c").unionByName(bigrams.select("block", F.lit(1).alias("kind"), "key", "c"))
+    answers = unigrams.select("block", F.lit(False).alias("is_arc"), "key", "c").unionByName(bigrams.select("block", F.lit(True).alias("is_arc"), "key", "c"))
 
     def walk(block: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        kind = told["kind"].to_numpy()
+        is_arc = told["is_arc"].to_numpy()
         key, c = told["key"].to_numpy(), told["c"].to_numpy()
-        rare, rare_c = key[kind == 0].view(np.uint64), c[kind == 0]
+        rare, rare_c = key[~is_arc].view(np.uint64), c[~is_arc]
         order = np.argsort(rare)
         rare, rare_c = rare[order], rare_c[order]
-        arcs, arc_c = key[kind == 1], c[kind == 1]
+        arcs, arc_c = key[is_arc], c[is_arc]
         order = np.argsort(arcs)
         arcs, arc_c = arcs[order], arc_c[order]
         for k in range(block.num_rows):
