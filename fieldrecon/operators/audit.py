@@ -25,8 +25,8 @@ def stage_counts(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def date_conflicts(assignments: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Keys that were given more than one value, with the number of values."""
-    pairs = assignments.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    """Keys that were given more than one value, with the number of values; each row stands for `n` assignments."""
+    pairs = assignments.groupBy(*keys, value).agg(F.sum("n").alias("n"))
     sums = pairs.groupBy(*keys).agg(
         F.count(value).alias("n_values"), F.sum("n").alias("n_writes"),
         F.min(value).alias("lowest"), F.max(value).alias("highest"),

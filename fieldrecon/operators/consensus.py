@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldrecon import vocab
+from fieldrecon.functions.text import strip
 
 C = F.col
 TOL = vocab.CONSENSUS_TOLERANCE
@@ -49,9 +50,15 @@ def consensus_median(readings: DataFrame, keys: list[str], value: str, pos: str)
 def consensus_cluster(readings: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     """Mean of the largest set of readings close to one of them (first wins ties)."""
     counts = value_counts(readings, keys, value, pos)
-    # strictly closer than the tolerance, on an integer axis
-    near = Window.partitionBy(*keys).orderBy("v").rangeBetween(-(TOL - 1), TOL - 1)
-    counts = counts.withColumn("size", F.sum("n").over(near)).withColumn("total", F.sum(C("n") * C("v")).over(near))
+    axis = Window.partitionBy(*keys).orderBy("v")
+
+    def near(value: Column) -> Column:
+        """Sum over the readings strictly closer than the tolerance: those at the very tolerance are taken off again."""
+        edges = [F.coalesce(F.sum(value).over(axis.rangeBetween(d, d)), F.lit(0)) for d in (-TOL, TOL)]
+        return F.sum(value).over(axis.rangeBetween(-TOL, TOL)) - edges[0] - edges[1]
+
+    counts = counts.withColumn("v", C("v").cast("double"))
+    counts = counts.withColumn("size", near(C("n"))).withColumn("total", near(C("n") * C("v")))
     best = F.max_by(F.struct("size", "total"), F.struct("size", -C("first_pos"))).alias("b")
     return counts.groupBy(*keys).agg(best).filter("b.size >= 2").select(
         *keys, (C("b.total") / C("b.size")).alias("consensus"), C("b.size").alias("n_readings")
@@ -84,7 +91,7 @@ def word_class(word: Column) -> Column:
     prefix = "|".join(m for m in MONTH_WORDS if len(m) == 3)
     return (
         F.when(word.isin(MONTH_WORDS), "month").when(word.isin(MARKER_WORDS), "marker")
-        .when(is_year | word.rlike(f"^.{{3,}}(?:{markers})$") & (F.length(word) >= 5) | word.rlike(f"^(?:{prefix})[0-9]+$"), "other")
+        .when(is_year | (F.length(word) >= 5) & word.rlike(f"(?:{markers})$|^(?:{prefix})[0-9]+$"), "other")
         .when(word.isin(DAY_WORDS), "day")
     )
 
@@ -96,7 +103,7 @@ def keyword_mean(words: DataFrame, keys: list[str], attempt: str) -> DataFrame:
     primary word is sure enough.  The mean is then widened to all words near it.
     """
     clean = F.regexp_replace(F.upper("text"), "[^A-Z0-9]", "")
-    rows = words.withColumn("clean", clean).withColumn("class", word_class(C("clean")))
+    rows = words.filter(strip(C("text")) != "").withColumn("clean", clean).withColumn("class", word_class(C("clean")))
     floor = F.try_element_at(F.create_map(*[F.lit(x) for kv in MIN_CONFIDENCE.items() for x in kv]), C("class"))
     sure = C("conf") >= floor
     rows = rows.select(

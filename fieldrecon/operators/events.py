@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldrecon import vocab
-from fieldrecon.functions.text import found, strip
+from fieldrecon.functions.text import strip
 
 C = F.col
 STAGE_SCHEMA = "type string, file string, stage string, asset_type string, detail string, photo string"
@@ -67,19 +67,25 @@ def step_status(outcomes: DataFrame) -> DataFrame:
 
 
 def match_log(lines: DataFrame) -> DataFrame:
-    """MISS and SKIP lines of a matching log as a table; other lines drop out."""
-    text = strip(C("line"))
-    miss = r"^\[MISS\] (.+?) -> cat=(\S+) id=(.+) date=(.+?) -- (.+)"
-    skip = r"^\[SKIP\] (.+?) — (.+)"
-    rows = lines.withColumn("t", text)
-    kind = F.when(C("t").rlike(miss), "MISS").when(C("t").rlike(skip), "SKIP")
-    rows = rows.withColumn("kind", kind).filter("kind is not null")
-    is_miss = C("kind") == "MISS"
-    return rows.select(
-        "line_id", "kind",
-        F.when(is_miss, found(C("t"), miss, 1)).otherwise(found(C("t"), skip, 1)).alias("filename"),
-        F.when(is_miss, found(C("t"), miss, 2)).alias("category"),
-        F.when(is_miss, found(C("t"), miss, 3)).alias("identifier"),
-        F.when(is_miss, found(C("t"), miss, 4)).alias("date_text"),
-        F.when(is_miss, found(C("t"), miss, 5)).otherwise(found(C("t"), skip, 2)).alias("note"),
-    )
+    """MISS and SKIP lines of a matching log as a table; other lines, and lines cut short, drop out.
+
+    A line is `[KIND] name` and labelled fields; it is cut at the labels, one after another.
+    """
+    rows = lines.select("line_id", strip(C("line")).alias("t"))
+    rows = rows.select("line_id", F.substring("t", 1, 7).alias("mark"), F.substr("t", F.lit(8)).alias("rest"))
+    miss, skip = C("mark") == "[MISS] ", C("mark") == "[SKIP] "
+    names = ["filename", *vocab.MATCH_LOG_FIELDS.values()]
+    for label, name in zip([*vocab.MATCH_LOG_FIELDS, None], names, strict=True):
+        cut = F.lit(0) if label is None else F.instr("rest", label)
+        rows = rows.withColumn("at", F.when(miss, cut).otherwise(F.when(F.lit(name == "filename"), F.instr("rest", vocab.SKIP_LOG_LABEL)).otherwise(0)))
+        length = F.length(F.when(miss, F.lit(label or "")).otherwise(vocab.SKIP_LOG_LABEL))
+        rows = rows.withColumn(name, F.when(C("at") > 0, F.substr("rest", F.lit(1), C("at") - 1)).otherwise(C("rest") if label is None else F.lit(None)))
+        rows = rows.withColumn("rest", F.when(C("at") > 0, F.substr("rest", C("at") + length)).otherwise(C("rest")))
+    skipped = [F.when(miss, C(n)).alias(n) for n in names[1:-1]]
+    last = names[-1]
+    whole = ~F.coalesce(C("category"), F.lit("")).contains(" ")  # a category is one word in such a log
+    for name in names:
+        whole = whole & (F.coalesce(C(name), F.lit("")) != "")
+    rows = rows.filter((miss & whole) | (skip & (F.coalesce("filename", F.lit("")) != "") & (C("rest") != "")))
+    note = F.when(miss, C(last)).otherwise(C("rest")).alias(last)
+    return rows.select("line_id", F.when(miss, "MISS").otherwise("SKIP").alias("kind"), "filename", *skipped, note)

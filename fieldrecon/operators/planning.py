@@ -100,7 +100,8 @@ def cut_segments(items: DataFrame, order: list[str]) -> DataFrame:
     Written out once: the partition borders come from a sample, so a second
     evaluation could cut elsewhere.
     """
-    ranged = items.repartitionByRange(*order).withColumn("seg", F.spark_partition_id())
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: adaptive merging would change the segments
+    ranged = items.repartitionByRange(parts, *order).withColumn("seg", F.spark_partition_id())
     return cut_lineage(ranged)
 
 
@@ -237,7 +238,8 @@ def expand_assets(reports: DataFrame, lines: DataFrame) -> DataFrame:
 
     order = F.struct("line_no", "part_id", "supp_id")
     rows = lines.join(reports.select("report_id", "category"), "report_id")
-    rows = rows.withColumn("identifier", text.extract_identifier(C("line"), C("category")))
+    rows = rows.withColumn("seen", text.category_seen(C("line"), C("category")))
+    rows = rows.withColumn("identifier", text.identifier_under(C("line"), C("seen")))
     ids = rows.groupBy("report_id", "identifier").agg(
         F.min(order).alias("first_at"), F.count("*").alias("n"), F.max(F.upper("line").contains("RADIO")).alias("radio")
     )

@@ -150,6 +150,11 @@ def classified(spark, sf):
     return rows.withColumn("category", text.classify_report(C("name"))).drop("name")
 
 
+def all_categories(spark):
+    """The fixed categories: a dimension of a dozen rows, small enough to broadcast whatever the reports."""
+    return spark.createDataFrame([(c,) for c in [*vocab.CATEGORIES, "UNKNOWN"]], "category string")
+
+
 SQL_CATS = f"cats AS (SELECT *, {sql_category('upper(file_name)')} AS category FROM b_report)"
 
 
@@ -159,8 +164,8 @@ SQL_CATS = f"cats AS (SELECT *, {sql_category('upper(file_name)')} AS category F
 )
 def j5(spark, sf):
     reports = classified(spark, sf).select("report_id", "category")
-    minutes = matching.category_minutes(reports, vocab.durations(spark), vocab.labour(spark))
-    return reports.join(minutes, "category", "left").select("report_id", "category", "minutes", "duration_source")
+    minutes = matching.category_minutes(all_categories(spark), vocab.durations(spark), vocab.labour(spark))
+    return reports.join(F.broadcast(minutes), "category", "left").select("report_id", "category", "minutes", "duration_source")
 
 
 @query(
@@ -170,9 +175,9 @@ def j5(spark, sf):
 def j6(spark, sf):
     labour = vocab.labour(spark)
     reports = classified(spark, sf).select("report_id", "category")
-    minutes = matching.category_minutes(reports, vocab.durations(spark), labour)
+    minutes = matching.category_minutes(all_categories(spark), vocab.durations(spark), labour)
     dims = minutes.join(F.broadcast(labour), minutes["asset_id"] == labour["id"]).select("category", "name", "staff", "senior_staff")
-    return reports.join(dims, "category").select("report_id", "category", "name", "staff", "senior_staff")
+    return reports.join(F.broadcast(dims), "category").select("report_id", "category", "name", "staff", "senior_staff")
 
 
 # --- plan lookups ---------------------------------------------------------------------
@@ -362,7 +367,7 @@ def u1(spark, sf):
 @query(
     "j14_backfill_by_code",
     oracle("b_asset_line", "b_sap_station") + f""",
-    s AS (SELECT report_id, line_no, part_id, supp_id, substr(code, 1, 3) AS kind, {SQL_DESC_STATION} AS station FROM b_asset_line LEFT JOIN b_sap_station USING (code)),
+    s AS (SELECT report_id, line_no, part_id, supp_id, code AS kind, {SQL_DESC_STATION} AS station FROM b_asset_line LEFT JOIN b_sap_station USING (code)),
     known AS (SELECT report_id, kind, arg_min(station, (line_no, part_id, supp_id)) AS known FROM s WHERE station <> 'UNKNOWN' GROUP BY 1, 2)
     SELECT report_id, line_no, part_id, supp_id, CASE WHEN station = 'UNKNOWN' THEN coalesce(known, station) ELSE station END AS station,
            station = 'UNKNOWN' AND known IS NOT NULL AS filled
@@ -370,7 +375,7 @@ def u1(spark, sf):
 )
 def j14(spark, sf):
     lines = view(spark, sf, "b_asset_line").join(view(spark, sf, "b_sap_station"), "code", "left")
-    rows = lines.select("report_id", *_POS, F.substr("code", F.lit(1), F.lit(3)).alias("kind"),
+    rows = lines.select("report_id", *_POS, C("code").alias("kind"),
                         text.station_from_description(C("title"), C("station")).alias("station"))
     known = ordering.first_per_key(rows.filter("station <> 'UNKNOWN'"), ["report_id", "kind"], "station", _POS)
     rows = rows.join(known.withColumnRenamed("station", "known"), ["report_id", "kind"], "left")

@@ -8,6 +8,8 @@ from fieldrecon import vocab
 from fieldrecon.operators import consensus, layout, ordering
 from fieldrecon.plans.common import oracle, query, table, view
 from fieldrecon.plans.joins import PAGE, SQL_ROWS
+from fieldrecon.session import new_folder
+from fieldrecon.sources import sinks
 
 C = F.col
 _POS = ["line_no", "part_id", "supp_id"]
@@ -100,10 +102,14 @@ def w10(spark, sf):
     SELECT report_id, page, row_top, row_size, CASE WHEN row_size < 3 THEN 'skipped: ' || cast(row_size AS string) || ' placements' ELSE 'ok' END AS status FROM rows_""",
 )
 def s7(spark, sf):
-    """Outcome of every image row of a page, as the export audit records it."""
+    """Outcome of every image row of a page, as the export audit records it: two runs append, the log is read back."""
     rows = layout.page_rows(layout.row_clusters(view(spark, sf, "b_image"), PAGE, least=1), PAGE)
     status = F.when(C("row_size") < 3, F.format_string("skipped: %d placements", "row_size")).otherwise("ok")
-    return rows.select(*PAGE, "row_top", "row_size", status.alias("status"))
+    rows = rows.select(*PAGE, "row_top", "row_size", status.alias("status"))
+    path = new_folder(spark, "audit")
+    for run in (C("page") <= 2, C("page") > 2):
+        sinks.append_audit(rows.filter(run), path)
+    return sinks.read_audit(spark, path, rows.schema)
 
 
 @query(
@@ -163,9 +169,11 @@ _M3 = "|".join(m for m in consensus.MONTH_WORDS if len(m) == 3)
 @query(
     "a18_keyword_confidence_mean",
     oracle("b_ocr_word") + f""",
-    w AS (SELECT *, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS c, top + height / 2 AS cy, pos % 3 AS attempt FROM b_ocr_word),
+    w AS (SELECT *, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS c, top + height / 2 AS cy, pos % 3 AS attempt FROM b_ocr_word WHERE trim(text) <> ''),
     k AS (SELECT *, CASE WHEN c IN ({_MON}) THEN 0 WHEN c IN ('AM', 'PM', 'WIB', 'WITA', 'WIT') THEN 15
-        WHEN (regexp_extract(c, '20[0-9]{{2}}') NOT IN ('', '2000')) OR (length(c) >= 5 AND regexp_matches(c, '(AM|PM|WIB|WITA|WIT)$')) OR regexp_matches(c, '^({_M3})[0-9]+$') THEN 20 END AS pmin,
+        WHEN regexp_extract(c, '20[0-9]{{2}}') > '2000' THEN 20
+        WHEN length(c) >= 5 AND (ends_with(c, 'AM') OR ends_with(c, 'PM') OR ends_with(c, 'WIB') OR ends_with(c, 'WITA') OR ends_with(c, 'WIT')) THEN 20
+        WHEN length(c) >= 5 AND left(c, 3) IN ({_MON}) AND try_cast(substr(c, 4) AS bigint) IS NOT NULL THEN 20 END AS pmin,
         CASE WHEN c IN ('SENIN', 'SELASA', 'RABU', 'KAMIS', 'JUMAT', 'SABTU', 'MINGGU') THEN 15 END AS dmin FROM w),
     refs AS (SELECT group_id, day_no, attempt, coalesce(avg(cy) FILTER (WHERE conf >= pmin), avg(cy) FILTER (WHERE pmin IS NULL AND conf >= dmin)) AS ref FROM k GROUP BY 1, 2, 3),
     wide AS (SELECT group_id, day_no, attempt, count(*) AS size, avg(cy) AS y FROM k JOIN refs USING (group_id, day_no, attempt) WHERE abs(cy - ref) < 8 GROUP BY 1, 2, 3)
@@ -179,5 +187,5 @@ def a18(spark, sf):
 
 @query("w13_leader_cluster")
 def w13(spark, sf):
-    words = view(spark, sf, "b_ocr_word").filter("conf >= 20 and length(text) >= 3")
+    words = view(spark, sf, "b_ocr_word").filter("conf >= 20 and length(trim(text)) >= 3").filter(F.length(F.regexp_replace("text", r"[^\p{L}]", "")).between(2, 10**6) | (F.length(F.trim("text")) >= 4))
     return consensus.leader_lines(words, GROUP, "pos")

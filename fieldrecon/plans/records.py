@@ -10,6 +10,7 @@ from fieldrecon.operators import audit, events, matching, ordering
 from fieldrecon.plans.common import oracle, query, table, view
 from fieldrecon.plans.joins import MATCH, SQL_INDEX, parsed_reports
 from fieldrecon.plans.rules import sql_asset_type
+from fieldrecon.session import new_folder
 from fieldrecon.sources import documents, files, sinks
 from fieldrecon.streaming import live
 
@@ -80,10 +81,13 @@ def s6(spark, sf):
     FROM b_outcome WHERE status <> 'success' GROUP BY ALL""",
 )
 def s8(spark, sf):
-    """The failure and skip tables of every run, one row per reason."""
+    """The failure and skip tables of every run, one row per reason, written as a report and read back."""
     rows = view(spark, sf, "b_outcome").filter("status <> 'success'")
     folders = rows.groupBy("run_id", "step", "status", "reason", "folder").agg(F.count("*").alias("n"))
-    return folders.groupBy("run_id", "step", "status", "reason").agg(F.sum("n").alias("n_files"), F.count("*").alias("n_folders"))
+    report = folders.groupBy("run_id", "step", "status", "reason").agg(F.sum("n").alias("n_files"), F.count("*").alias("n_folders"))
+    path = new_folder(spark, "report")
+    sinks.write_report(report, path)
+    return sinks.read_report(spark, path, report.schema)
 
 
 @query(
@@ -92,9 +96,14 @@ def s8(spark, sf):
     FROM b_photo GROUP BY ALL""",
 )
 def s9(spark, sf):
+    """The tree of photo sets, stored below team, region and category; a second run replaces one team's folders."""
     photos = view(spark, sf, "b_photo").groupBy("team", *_SET).agg(F.count("*").alias("n_photos"))
     folder = sinks.output_path(C("team"), C("region"), C("category"), C("identifier"))
-    return photos.select(folder.alias("folder"), "team", "region", "category", "n_photos")
+    sets = photos.select(folder.alias("folder"), "team", "region", "category", "n_photos")
+    path = new_folder(spark, "tree")
+    sinks.write_tree(sets.withColumn("n_photos", F.when(C("team") == 1, 0).otherwise(C("n_photos"))), path, ["folder"])
+    sinks.write_tree(sets.filter("team = 1"), path, ["folder"])
+    return spark.read.schema(sets.schema).parquet(path)
 
 
 @query(
@@ -104,23 +113,24 @@ def s9(spark, sf):
       WHERE d.region = p.region AND d.category = p.category AND d.identifier = p.identifier AND d.milestone = p.milestone)""",
 )
 def s10(spark, sf):
-    photos = view(spark, sf, "b_photo")
-    keys = [*_SET, "milestone"]
-    done = photos.filter("supp_id % 3 = 0").select(*keys).distinct()
-    return sinks.missing_keys(photos, done, keys).select("report_id", "line_no", "part_id", "supp_id", "milestone")
-
-
-_MISS = r"^\[MISS\] (.+?) -> cat=(\S+) id=(.+) date=(.+?) -- (.+)"
-_SKIP = r"^\[SKIP\] (.+?) — (.+)"
+    """A first run stores some photos; a second one without overwrite stores only what is missing, and is read back."""
+    photos = view(spark, sf, "b_photo").select("team", *_SET, "report_id", "line_no", "part_id", "supp_id", "milestone")
+    keys, path = [*_SET, "milestone"], new_folder(spark, "tree")
+    sinks.write_tree(photos.filter("supp_id % 3 = 0").withColumn("run", F.lit(1)), path, keys)
+    sinks.write_tree(photos.withColumn("run", F.lit(2)), path, keys, overwrite=False)
+    stored = spark.read.schema(photos.withColumn("run", F.lit(2)).schema).parquet(path)
+    return stored.filter("run = 2").select("report_id", "line_no", "part_id", "supp_id", "milestone")
 
 
 @query(
     "s11_match_log_parse",
-    oracle("b_match_log") + f""", m AS (SELECT line_id, trim(line) AS t FROM b_match_log)
-    SELECT line_id, 'MISS' AS kind, regexp_extract(t, '{_MISS}', 1) AS filename, regexp_extract(t, '{_MISS}', 2) AS category,
-           regexp_extract(t, '{_MISS}', 3) AS identifier, regexp_extract(t, '{_MISS}', 4) AS date_text, regexp_extract(t, '{_MISS}', 5) AS note
-    FROM m WHERE regexp_matches(t, '{_MISS}')
-    UNION ALL SELECT line_id, 'SKIP', regexp_extract(t, '{_SKIP}', 1), NULL, NULL, NULL, regexp_extract(t, '{_SKIP}', 2) FROM m WHERE regexp_matches(t, '{_SKIP}')""",
+    oracle("b_match_log") + """, m AS (SELECT line_id, left(trim(line), 6) AS mark, substr(trim(line), 8) AS body FROM b_match_log),
+    cuts AS (SELECT line_id, mark, split_part(body, ' -> cat=', 1) AS f, split_part(split_part(body, ' -> cat=', 2), ' id=', 1) AS c,
+               split_part(split_part(body, ' id=', 2), ' date=', 1) AS i, split_part(split_part(body, ' date=', 2), ' -- ', 1) AS d,
+               split_part(body, ' -- ', 2) AS n, split_part(body, ' — ', 1) AS sf, split_part(body, ' — ', 2) AS sn FROM m)
+    SELECT line_id, 'MISS' AS kind, f AS filename, c AS category, i AS identifier, d AS date_text, n AS note
+    FROM cuts WHERE mark = '[MISS]' AND f <> '' AND c <> '' AND NOT contains(c, ' ') AND i <> '' AND d <> '' AND n <> ''
+    UNION ALL SELECT line_id, 'SKIP', sf, NULL, NULL, NULL, sn FROM cuts WHERE mark = '[SKIP]' AND sf <> '' AND sn <> ''""",
 )
 def s11(spark, sf):
     return events.match_log(view(spark, sf, "b_match_log"))
@@ -158,11 +168,12 @@ def a2(spark, sf):
 
 @query(
     "a5_uniform_group_flag",
-    oracle("b_photo") + """ SELECT region, category, identifier, count(*) AS n, count(*) >= 2 AND count(DISTINCT year(shot)) = 1 AS uniform FROM b_photo GROUP BY 1, 2, 3""",
+    oracle("b_photo") + """ SELECT region, category, identifier, count(*) AS n, count(*) >= 2 AND count(DISTINCT CASE WHEN line_no % 2 = 1 AND report_id % 4 <> 0 THEN cast(shot AS date) END) = 1 AS uniform FROM b_photo GROUP BY 1, 2, 3""",
 )
 def a5(spark, sf):
-    photos = view(spark, sf, "b_photo").withColumn("shot_year", F.year("shot"))
-    return audit.uniform_groups(photos, _SET, "shot_year")
+    """Photo sets of two or more whose planned photos are all planned for one day."""
+    planned = F.when((C("line_no") % 2 == 1) & (C("report_id") % 4 != 0), C("shot").cast("date"))
+    return audit.uniform_groups(view(spark, sf, "b_photo").withColumn("planned", planned), _SET, "planned")
 
 
 @query(
@@ -220,11 +231,12 @@ def a8(spark, sf):
 )
 def a9(spark, sf):
     """Date a folder ends up with in path order, beside its latest date."""
-    pairs = matching.match_reports(parsed_reports(spark, sf), view(spark, sf, "b_folder"))
-    return pairs.groupBy("region", "category", "folder").agg(
-        F.max_by("date_text", F.struct("path", "report_id")).alias("date_text"),
-        F.max(F.try_to_date("date_text", "dd-MM-yyyy")).cast("string").alias("latest"),
+    # a folder's last writer is the last of its identifiers' last writers: reduce the reports first, then match
+    last = parsed_reports(spark, sf).groupBy("category", "identifier").agg(
+        F.max(F.struct("path", "report_id", "date_text")).alias("w"), F.max(F.try_to_date("date_text", "dd-MM-yyyy")).alias("d")
     )
+    pairs = matching.match_reports(last, view(spark, sf, "b_folder"))
+    return pairs.groupBy("region", "category", "folder").agg(F.max("w")["date_text"].alias("date_text"), F.max("d").cast("string").alias("latest"))
 
 
 @query(
@@ -254,12 +266,14 @@ def a14(spark, sf):
 @query(
     "a16_dashboard_totals",
     oracle("b_outcome") + """ SELECT run_id, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'failed') AS failed,
-      count(*) FILTER (WHERE status = 'skipped') AS skipped FROM b_outcome WHERE step IN ('step4', 'step5') GROUP BY 1""",
+      count(*) FILTER (WHERE status = 'skipped' AND step = 'step5') AS skipped FROM b_outcome WHERE step IN ('step4', 'step5') GROUP BY 1""",
 )
 def a16(spark, sf):
     rows = view(spark, sf, "b_outcome").filter("step in ('step4', 'step5')")
     per_step = audit.outcome_counts(rows, ["run_id", "step"])
-    return per_step.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("success", "failed", "skipped")])
+    # the editing step reports no skipped files
+    merge_only = F.when(C("step") == "step5", C("skipped")).otherwise(0)
+    return per_step.groupBy("run_id").agg(F.sum("success").alias("success"), F.sum("failed").alias("failed"), F.sum(merge_only).alias("skipped"))
 
 
 @query(
@@ -268,7 +282,8 @@ def a16(spark, sf):
     FROM pairs GROUP BY 1, 2, 3 HAVING count(DISTINCT date_text) > 1""",
 )
 def a17(spark, sf):
-    pairs = matching.match_reports(parsed_reports(spark, sf), view(spark, sf, "b_folder"))
+    dated = parsed_reports(spark, sf).groupBy("category", "identifier", "date_text").agg(F.count("*").alias("n"))
+    pairs = matching.match_reports(dated, view(spark, sf, "b_folder"))
     return audit.date_conflicts(pairs, ["region", "category", "folder"], "date_text")
 
 
@@ -397,6 +412,20 @@ def stream_view(spark, sf, name):
     return spark.sql(BINDINGS[name], events=event_stream(spark, sf))
 
 
+def followed(spark, sf, name, step):
+    """`step(stream, folder)` over a view of events that arrive in two goes, with a start after each and one more."""
+    from fieldrecon.sources.bindings import BINDINGS
+
+    source, folder = new_folder(spark, "arrivals"), new_folder(spark, "followed")
+    rows = table(spark, sf, "events")
+    for part in (C("event_id") % 3 > 0, C("event_id") % 3 == 0, None):
+        if part is not None:
+            rows.filter(part).write.mode("append").parquet(source)
+        stream = live.read_stream(spark, source, rows.schema)
+        result = step(spark.sql(BINDINGS[name], events=stream), folder)
+    return result
+
+
 @query("t1_event_line_parse", oracle("b_event_line") + f", {_SQL_EVENTS} SELECT line_id, run_id, file, stage, asset_type, detail, photo FROM ev")
 def t1(spark, sf):
     rows = live.run_to_table(events.stage_events(stream_view(spark, sf, "b_event_line")).drop("ts"))
@@ -415,7 +444,7 @@ def t1_summary(spark, sf):
 
 @query("t2_running_stage_counts", oracle("b_event_line") + f", {_SQL_EVENTS} SELECT run_id, stage, count(*) AS n FROM ev GROUP BY 1, 2")
 def t2(spark, sf):
-    return live.run_to_table(live.running_stage_counts(events.stage_events(stream_view(spark, sf, "b_event_line"))), "complete")
+    return followed(spark, sf, "b_event_line", lambda s, folder: live.run_to_table(live.running_stage_counts(events.stage_events(s)), "complete", folder))
 
 
 @query(
@@ -432,19 +461,13 @@ def t2_merged(spark, sf):
     oracle("b_event_line") + " SELECT run_id, line_id, line FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_id DESC) AS k FROM b_event_line) WHERE k <= 20",
 )
 def t3(spark, sf):
-    return live.tail_table(stream_view(spark, sf, "b_event_line").select("run_id", "line_id", "line"), 20)
+    return followed(spark, sf, "b_event_line", lambda s, folder: live.tail_table(s.select("run_id", "line_id", "line"), 20, folder))
 
 
 @query("t4_replay_then_follow", oracle("b_event_line") + " SELECT run_id, line_id, line FROM b_event_line")
 def t4(spark, sf):
-    """History first, then what is new: the second start finds nothing to repeat."""
-    from fieldrecon.session import scratch_folder
-    import uuid
-
-    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    for _ in range(2):
-        rows = live.run_to_table(stream_view(spark, sf, "b_event_line").select("run_id", "line_id", "line"), folder=folder)
-    return rows
+    """History first, then what is new: a start after new events adds them, a start without any repeats nothing."""
+    return followed(spark, sf, "b_event_line", lambda s, folder: live.run_to_table(s.select("run_id", "line_id", "line"), folder=folder))
 
 
 @query(
@@ -464,7 +487,7 @@ def t5(spark, sf):
     SELECT step, cast(json_extract_string(j, '$.success') AS int) AS success, cast(json_extract_string(j, '$.failed') AS int) AS failed, cast(json_extract_string(j, '$.skipped') AS int) AS skipped FROM l""",
 )
 def t6(spark, sf):
-    rows = live.upsert_table(events.summaries(stream_view(spark, sf, "b_event_line")), ["step"], ["ts", "line_id"])
+    rows = followed(spark, sf, "b_event_line", lambda s, folder: live.upsert_table(events.summaries(s), ["step"], ["ts", "line_id"], folder))
     return rows.select("step", "success", "failed", "skipped")
 
 

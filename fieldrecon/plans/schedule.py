@@ -8,7 +8,7 @@ from fieldrecon import vocab
 from fieldrecon.functions import dates, text
 from fieldrecon.operators import audit, matching, ordering, planning
 from fieldrecon.plans.common import oracle, query, view
-from fieldrecon.plans.joins import SQL_CATS, SQL_MINUTES, classified
+from fieldrecon.plans.joins import SQL_CATS, SQL_MINUTES, all_categories, classified
 from fieldrecon.plans.rules import sql_date_multi, sql_file_station, sql_identifier, sql_line_category, sql_region
 
 C = F.col
@@ -90,10 +90,10 @@ _SQL_BASE = oracle("b_report", "b_asset_line", "b_page_text") + "," + SQL_ITEMS
 def plan_items(spark, sf):
     """Dated assets with region and minutes; reports without a date drop out."""
     assets = planned_assets(spark, sf).withColumn("region", text.region_of_identifier(C("identifier"))["region"])
-    names = spark.createDataFrame([(c,) for c in [*vocab.CATEGORIES, "UNKNOWN"]], "category string")
-    dims = matching.category_minutes(names, vocab.durations(spark), vocab.labour(spark))
-    dated = view(spark, sf, "b_page_text").select(
-        "report_id", dates.parse_date_multi(C("text")).alias("plan_date"), text.core_count(C("text")).alias("cores")
+    dims = F.broadcast(matching.category_minutes(all_categories(spark), vocab.durations(spark), vocab.labour(spark)))
+    # parsed below an aggregate: the filter stays above it, so the date rule is evaluated once
+    dated = view(spark, sf, "b_page_text").groupBy("report_id").agg(
+        F.min(dates.parse_date_multi(C("text"))).alias("plan_date"), F.max(text.core_count(C("text"))).alias("cores")
     ).filter("plan_date is not null")
     rows = assets.join(dated, "report_id").join(dims.select("category", C("minutes").alias("m"), "asset_id"), "category", "left")
     fibre = (C("category") == "SERAT OPTIK") & (C("cores") > 0)

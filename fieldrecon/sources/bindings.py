@@ -237,7 +237,8 @@ SELECT o_orderkey AS report_id, 1 AS page, o_orderdate AS report_date,
          ELSE 'tanpa tanggal' END
        || chr(10) ||
        '  WSL' || cast(10000 + o_custkey as string) || ' : PENGGERAK WESEL W' || cast(o_custkey % 997 as string) || 'A ' || {_STATION} || chr(10) ||
-       CASE WHEN o_orderkey % 3 = 0 THEN 'Jumlah Core FO : ' || cast(o_custkey % 96 as string) || ' core' ELSE 'Jumlah Core -' END
+       CASE WHEN o_orderkey % 57 = 0 THEN 'Jumlah Core FO : 99999999999999999999 core' WHEN o_orderkey % 58 = 0 THEN 'Jumlah Core : 9999999999'
+            WHEN o_orderkey % 3 = 0 THEN 'Jumlah Core FO : ' || cast(o_custkey % 96 as string) || ' core' ELSE 'Jumlah Core -' END
        || chr(10) ||
        CASE WHEN o_orderkey % 2 = 0 THEN 'sin' || cast(10000 + o_orderkey as string) || ': SINYAL MASUK J' || cast(o_orderkey % 997 as string) || ' BOO' ELSE 'SIN12 : pendek' END
        || chr(10) || 'JPL' || cast(20000 + o_custkey as string) || '  : PESAWAT TELEPON JPL BNR BOP - BTT' AS text
@@ -268,16 +269,17 @@ FROM {{orders}}
 BINDINGS["b_reading"] = """
 SELECT event_id AS pos, cast(user_id as bigint) AS group_id, cast(month(ts) as int) * 100 + cast(day(ts) as int) AS day_no,
        CASE WHEN event_id % 6 = 0 THEN NULL
-            ELSE 150 + cast(floor(value * 10) as bigint) % CASE WHEN event_id % 5 = 0 THEN 40 ELSE 12 END END AS y,
-       CASE WHEN event_id % 4 = 0 THEN 150 + cast(floor(value * 10) as bigint) % 25 END AS y_second,
-       CASE WHEN event_id % 97 = 0 THEN 200 END AS y_override
+            ELSE cast(150 + cast(floor(value * 10) as bigint) % CASE WHEN event_id % 5 = 0 THEN 40 ELSE 12 END as double)
+                 + cast(event_id % 2 as double) / 2 END AS y,
+       CASE WHEN event_id % 4 = 0 THEN cast(150 + cast(floor(value * 10) as bigint) % 25 as double) END AS y_second,
+       CASE WHEN event_id % 97 = 0 THEN cast(200 as double) END AS y_override
 FROM {events}
 """
 
 # Word table of a reader: text, confidence and position.
 BINDINGS["b_ocr_word"] = f"""
 SELECT event_id AS pos, cast(user_id as bigint) AS group_id, cast(month(ts) as int) * 100 + cast(day(ts) as int) AS day_no,
-       {_case("event_id", _words("JANUARI", "jan.", "2025", "WIB", "SENIN", "Kec. Bogor", "07:00AM", "MEI2024", "Rabu", "jalan", "2000", "x"))} AS text,
+       {_case("event_id", _words("JANUARI", "jan.", "2025", "WIB", "SENIN", "Kec. Bogor", "07:00AM", "MEI2024", "Rabu", "jalan", "2000", "x", "JAN5", "JAN05", " ", "12WIB"))} AS text,
        cast(floor(value) as bigint) % 60 AS conf,
        100 + cast(floor(value * 100) as bigint) % 50 AS top,
        8 + event_id % 5 AS height,

@@ -349,3 +349,11 @@ def values_sql(rows) -> str:
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+# fixed values: the labels of a matching log's lines, each with the field behind it
+MATCH_LOG_FIELDS = {" -> cat=": "category", " id=": "identifier", " date=": "date_text", " -- ": "note"}
+SKIP_LOG_LABEL = " — "
+
+# fixed values: letters a signal's name may begin with, and those that may stand apart from the number
+SIGNAL_LETTERS = ["J", "L", "MJ", "B", "UB", "MB", "UJ"]
+SIGNAL_LETTERS_APART = ["JL"]
