@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,22 +36,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors share one disk.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A folder all executors can write: next to the checkpoints."""
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder: spark.checkpoint.dir, or the checkpoint folder that was set, or (local master) a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return folder.rstrip("/") + "/fieldrecon"
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder all executors can write: next to the checkpoints."""
+    return _shared(spark).rstrip("/") + "/fieldrecon"

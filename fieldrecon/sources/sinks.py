@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldrecon.functions.text import sanitize_segment
@@ -17,11 +17,19 @@ def append_audit(outcomes: DataFrame, path: str) -> None:
     outcomes.write.mode("append").parquet(path)
 
 
+def read_audit(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """One report table as CSV with a header."""
     rows.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def read_report(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
 def output_path(team, region, category, identifier):
     """Tim_n/region/category/identifier with safe segments."""
     return F.concat_ws(
@@ -43,8 +51,8 @@ def write_tree(rows: DataFrame, path: str, keys: list[str], overwrite: bool = Tr
     spark = rows.sparkSession
     if not overwrite and exists(spark, path):
         rows = missing_keys(rows, spark.read.parquet(path), keys)
-    # the tree's columns and a salt: a hot folder is spread over several files
-    spread = rows.repartition(*TREE, F.pmod(F.xxhash64(*keys), F.lit(16)))
+    # partitions follow the tree; adaptive execution splits a hot folder by its size
+    spread = rows.hint("rebalance", *[C(c) for c in TREE])
     writer = spread.write.partitionBy(*TREE)
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

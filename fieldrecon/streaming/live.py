@@ -7,15 +7,10 @@ checkpoint, which is the replay-then-follow behaviour of a live view.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fieldrecon import vocab
 from fieldrecon.session import scratch_folder
 
 C = F.col
@@ -43,10 +38,14 @@ def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = N
         writer = writer.outputMode("append").format("parquet").option("path", folder + "/out")
     else:
         # result tables are small (keys, not events); every batch replaces them
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(folder + "/out")
+        spark = stream.sparkSession
 
-        writer = writer.outputMode("complete").foreachBatch(replace)
+        def replace(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
+            _forget(spark, folder, number)
+
+        writer.outputMode("complete").foreachBatch(replace).start().awaitTermination()
+        return _version(spark, folder)
     writer.start().awaitTermination()
     return stream.sparkSession.read.parquet(folder + "/out")
 
@@ -64,47 +63,14 @@ def event_rate(events: DataFrame, size: str, slide: str | None = None, late: str
 
 
 def event_sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
-    """Bursts of events of one user, closed by a pause of `gap`."""
+    """Bursts of events of one user, closed by a pause of `gap`; each task merges its own part of a session first."""
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     counted = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
         F.count("*").alias("n")
     )
     return counted.select("user_id", C("w.start").alias("start"), C("w.end").alias("end"), "n")
 
 
-class TailProcessor(StatefulProcessor):
-    """Keeps the newest `size` lines of each run and emits them as they change."""
-
-    size = vocab.LOG_TAIL
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getListState("tail", "line_id bigint, line string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.tail.get()), columns=["line_id", "line"])
-        for pdf in rows:  # at most the tail and one Arrow batch are held
-            kept = pd.concat([kept, pdf[["line_id", "line"]]]).sort_values("line_id").tail(self.size)
-        self.tail.put([(int(i), s) for i, s in zip(kept["line_id"], kept["line"])])
-        yield pd.DataFrame({"run_id": key[0], "line_id": kept["line_id"].astype("int64"), "line": kept["line"]})
-
-    def close(self) -> None:
-        pass
-
-
-def tail_processor(size: int) -> TailProcessor:
-    class Sized(TailProcessor):
-        pass
-
-    Sized.size = size
-    return Sized()
-
-
-def bounded_tail(lines: DataFrame, size: int = vocab.LOG_TAIL) -> DataFrame:
-    """Stream of tails per run, by stateful processing (needs the RocksDB state store)."""
-    return lines.groupBy("run_id").transformWithStateInPandas(
-        tail_processor(size), "run_id bigint, line_id bigint, line string", "Update", "None"
-    )
-
-
 def tail_table(stream: DataFrame, size: int, folder: str | None = None) -> DataFrame:
     """Newest `size` lines of each run, kept in a table that each batch updates.
 
@@ -117,15 +83,15 @@ def tail_table(stream: DataFrame, size: int, folder: str | None = None) -> DataF
 
     def merge(batch: DataFrame, number: int) -> None:
         w = Window.partitionBy("run_id").orderBy(C("line_id").desc())
-        old = _current(spark, folder)
+        old = _version(spark, folder, number)
         rows = batch if old is None else batch.unionByName(old)
         newest = rows.dropDuplicates(["run_id", "line_id"]).withColumn("age", F.row_number().over(w))
         newest.filter(C("age") <= size).select(*columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
-        _publish(spark, folder, number)
+        _forget(spark, folder, number)
 
     query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", folder + "/state")
     query.foreachBatch(merge).start().awaitTermination()
-    return _current(spark, folder)
+    return _version(spark, folder)
 
 
 def upsert_table(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
@@ -135,25 +101,35 @@ def upsert_table(stream: DataFrame, keys: list[str], order: list[str], folder: s
     columns = [f.name for f in stream.schema]
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = _current(spark, folder)
+        old = _version(spark, folder, number)
         rows = batch if old is None else batch.unionByName(old)
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r"))
         newest.select("r.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
-        _publish(spark, folder, number)
+        _forget(spark, folder, number)
 
     query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", folder + "/state")
     query.foreachBatch(merge).start().awaitTermination()
-    return _current(spark, folder)
+    return _version(spark, folder)
+
 
+def _versions(spark: SparkSession, folder: str) -> dict[int, object]:
+    """Complete versions of a table by the number of the batch that wrote them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    done = [p for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {int(p.getName()[1:]): p for p in done}
 
-def _publish(spark: SparkSession, folder: str, number: int) -> None:
-    """Name the version readers should see; a replayed batch names it again."""
-    spark.range(1).select(F.lit(number).alias("v")).write.mode("overwrite").parquet(folder + "/current")
 
+def _version(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """The newest complete version, or the newest that a batch before `below` wrote: what a replayed batch starts from."""
+    held = [n for n in _versions(spark, folder) if below is None or n < below]
+    return spark.read.parquet(f"{folder}/v{max(held)}") if held else None
 
-def _current(spark: SparkSession, folder: str) -> DataFrame | None:
-    from fieldrecon.sources.files import exists
 
-    if not exists(spark, folder + "/current"):
-        return None
-    return spark.read.parquet(f"{folder}/v{spark.read.parquet(folder + '/current').first()['v']}")
+def _forget(spark: SparkSession, folder: str, number: int) -> None:
+    """Drop versions that neither a reader of this one nor a replay of this batch needs."""
+    held = _versions(spark, folder)
+    for n in sorted(held)[:-2]:
+        if n < number:
+            held[n].getFileSystem(spark._jsc.hadoopConfiguration()).delete(held[n], True)
