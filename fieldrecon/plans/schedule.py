@@ -10,6 +10,7 @@ from fieldrecon.operators import audit, matching, ordering, planning
 from fieldrecon.plans.common import oracle, query, view
 from fieldrecon.plans.joins import SQL_CATS, SQL_MINUTES, all_categories, classified
 from fieldrecon.plans.rules import sql_date_multi, sql_file_station, sql_identifier, sql_line_category, sql_region
+from fieldrecon.session import new_folder
 
 C = F.col
 
@@ -186,10 +187,11 @@ def a12(spark, sf):
     FROM items, (SELECT unnest([0, 50, 100]) AS milestone)""",
 )
 def s4(spark, sf):
-    """Plan entries as nested documents and back: one document per entry."""
+    """Plan entries written as nested documents, one for each entry, and read back."""
     from fieldrecon.sources import documents
 
     items = plan_items(spark, sf)
     marks = [(m, dates.at_minute(C("plan_date"), vocab.SHIFT_START + F.bround(m * C("minutes") / 100))) for m in vocab.MILESTONES]
-    docs = documents.nest_plan(items, marks)
-    return documents.flatten_plan(docs).select("region", "path", "identifier", "milestone", "at")
+    path = new_folder(spark, "plan")
+    documents.write_plan(items, marks, path)
+    return documents.read_plan(spark, path).select("region", "path", "identifier", "milestone", "at")
