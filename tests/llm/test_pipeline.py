@@ -67,7 +67,7 @@ def test_mixing_and_packing_stages(stages):
         got[source[i]] += len(words(t)) * taken[i]
     assert all(got[s] <= 3 * held[s] for s in held)
     assert sum(got.values()) == pytest.approx(sum(held.values()), rel=0.1)
-    pieces = packed.groupBy("doc_id").agg(F.count_if("piece = 0").alias("n")).collect()
+    pieces = packed.groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in pieces} == dict(taken)
     fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
     assert all(r["n"] == r["end"] <= 4096 for r in fill)
