@@ -342,3 +342,19 @@ def test_lm_scoring(docs, none):
     for a, b in zip(found, sorted(expected), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
     assert lm_scoring.score(none, held).count() == 0
+
+
+def test_lm_scoring_keeps_rare_words_and_bigrams(spark):
+    """Above 100,000 training tokens a word or a bigram seen once is still part of the model; small blocks: many parts."""
+    texts = [(i, "common " * 1500 + f"rare{i} follower{i}") for i in range(100)] + [(1000, "rare7 follower7"), (1001, "rare7 follower8")]
+    block, lm_scoring.BLOCK = lm_scoring.BLOCK, 50_000
+    try:
+        frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        got = {r["id"]: r for r in lm_scoring.score(frame, F.col("doc_id") >= 1000).collect()}
+    finally:
+        lm_scoring.BLOCK = block
+    n, v = 100 * 1503, 202
+    assert got[1000]["train_tokens"] == n and len(got) == 102
+    root = lambda c: (c + 1) / (n + v + 1)
+    assert got[1000]["score"] == pytest.approx(np.log10([root(1), 0.25 + 0.75 * root(1), 0.25 + 0.75 * root(100)]).sum())
+    assert got[1001]["score"] == pytest.approx(np.log10([root(1), 0.75 * root(1), 0.25 + 0.75 * root(100)]).sum())
