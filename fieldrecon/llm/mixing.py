@@ -11,8 +11,9 @@ and the demand of all sources up to that time into a position.  Positions are
 spread evenly over words, so a sort by range needs no sample of the data.
 
 Passes are over whole documents: `target // size` full ones, then documents in
-order up to the first that doesn't fit, then such of the next CLOSERS as fill what
-is missing, the last of them if taking it comes closer to the target than leaving it.
+order, each that still fits, through the whole source.  Of those left, which are all
+longer than what is then open, the shortest is taken too, and documents from the end of
+the order are given back as far as it overshoots, if that comes closer to the target.
 
 Hot sources are cut into hash ranges of about `ROWS` documents; only sums per
 range meet in a window.  Cases: a null or blank text has size 0 and is never
@@ -22,6 +23,7 @@ rows are ordinary documents; an empty table gives no rows; other columns are kep
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,6 @@ from fieldrecon.llm.common import WORD, join_on, register, save, shield, small,
 #: documents in one hash range of a source
 ROWS = 2_000
 MAX_EPOCHS = 3
-#: documents of a source, next in its order, from which the end of the last pass is filled
-CLOSERS = 64
 WEIGHTS = (5, 2, 1)
 #: relative weight at the start and the end of training for each entry of WEIGHTS: heavy sources fade, light ones grow
 TREND = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
@@ -110,36 +110,91 @@ def plan(size: DataFrame, schedule=None, max_epochs: int = MAX_EPOCHS) -> tuple[
     full = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0)
     docs = docs.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("total"))
     docs = docs.withColumn("fits", (F.col("size") > 0) & (F.col("demand") + F.col("size") <= F.col("rest")))
-    docs = save(docs.drop("start", "inside", "docs", "range", "place"), "demand")
-    # what the whole documents of the last pass leave open, and the documents that fill it best
+    docs = save(docs.drop("start", "inside", "docs", "place"), "demand")
+    closings, given = _closings(docs)
+    keys = ["source", "hash", "demand"]
+    docs = join_on(docs, small(closings), keys, "left")
+    docs = join_on(docs, small(given), keys, "left")
+    # a document without words shares its demand with the one behind it
+    docs = docs.withColumn("closes_at", F.when(F.col("size") > 0, F.col("closes_at"))).withColumn("closes", F.col("closes_at").isNotNull())
+    last = (F.col("fits") & ~((F.col("size") > 0) & F.col("given").isNotNull())) | F.col("closes")
+    docs = docs.withColumn("copies", F.col("full") * (F.col("size") > 0).cast("int") + last.cast("int"))
+    return docs.drop("range", "given"), goals
+
+
+def _fold(rows: pa.Table) -> pa.Table:
+    """Of one source's rows of one range, in order, each that still fits."""
+    rows = rows.sort_by("order")
+    at, rest, take, places = rows["start"][0].as_py() if rows.num_rows else 0, rows["rest"], [], []
+    for i, size in enumerate(rows["size"].to_pylist()):
+        if at + size <= rest[i].as_py():
+            take.append(i)
+            places.append(at)
+            at += size
+    return rows.select(["source", "hash", "demand", "size"]).take(pa.array(take, pa.int64())).append_column("closes_at", pa.array(places, pa.int64()))
+
+
+def _fill(spare: DataFrame, state: DataFrame) -> DataFrame:
+    """(source, hash, demand, size, closes_at) of the rows taken: in order, each that fits between `filled` and `rest` of its source.
+
+    `spare`: source, hash, demand, size, range, order (ranges in the order); `state`: source, filled, rest.
+    A round takes the ranges whose rows all fit and folds the first that overflows; the next
+    goes on behind that range with rows no longer than what is open.
+    """
+    spark, kept = spare.sparkSession, []
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spare.select("source", "hash", "demand", "size").schema) + ", closes_at long"
+    state = save(state.withColumn("after", F.lit(None).cast("long")), "state")
+    by = Window.partitionBy("source").orderBy("range")
+    while True:
+        rows = join_on(spare, small(state), ["source"]).filter("(after is null or range > after) and size <= rest - filled")
+        ranges = rows.groupBy("source", "range", "filled").agg(F.sum("size").alias("held"), F.first("rest").alias("limit"))
+        ranges = ranges.withColumn("start", F.col("filled") + F.coalesce(F.sum("held").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranges = ranges.withColumn("over", F.col("start") + F.col("held") > F.col("limit"))
+        ranges = ranges.withColumn("before", F.coalesce(F.sum(F.col("over").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranges = save(ranges.filter("before = 0").select("source", "range", "start", "over"), "ranges")
+        if ranges.isEmpty():
+            break
+        rows = join_on(rows, small(ranges), ["source", "range"])
+        inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+        whole = rows.filter("not over").withColumn("closes_at", (F.col("start") + F.coalesce(inside, F.lit(0))).cast("long"))
+        edge = rows.filter("over").select("source", "hash", "demand", "size", "order", "start", "rest").groupBy("source").applyInArrow(_fold, kind)
+        took = save(whole.select(edge.columns).unionByName(edge), "took")
+        kept.append(took)
+        # a source without an overflowing range has nothing left that fits
+        state = join_on(state.drop("after"), ranges.filter("over").select("source", F.col("range").alias("after")), ["source"])
+        state = join_on(state, took.groupBy("source").agg(F.sum("size").alias("more")), ["source"], "left")
+        state = save(state.select("source", (F.col("filled") + F.coalesce("more", F.lit(0))).alias("filled"), "rest", "after").filter("filled < rest"), "state")
+    out = spark.createDataFrame([], kind)
+    for took in kept:
+        out = took if took is kept[0] else out.unionByName(took)
+    return out
+
+
+def _closings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents taken behind the first that does not fit, with `closes_at`, and documents given back, with `given`."""
+    keys = ["source", "hash", "demand"]
+    spare = docs.filter("size > 0 and not fits").select(*keys, "size", "range", F.col("demand").alias("order"))
     state = docs.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("filled"), F.first("rest").alias("rest"))
-    next_ = F.row_number().over(Window.partitionBy("source").orderBy("demand", "hash"))
-    spare = docs.filter("size > 0 and not fits").withColumn("next", next_).filter(F.col("next") <= CLOSERS)
-    spare = spare.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "hash", "demand")), asc=False).alias("spare"))
-    found = join_on(state, spare, ["source"]).select("source", F.explode(_closers()).alias("c")).select("source", "c.hash", "c.demand", "c.closes_at")
-    docs = join_on(docs, small(save(found, "closings")), ["source", "hash", "demand"], "left")
-    docs = docs.withColumn("closes_at", F.when((F.col("size") > 0) & ~F.col("fits"), F.col("closes_at"))).withColumn("closes", F.col("closes_at").isNotNull())
-    return docs.withColumn("copies", F.col("full") * (F.col("size") > 0).cast("int") + (F.col("fits") | F.col("closes")).cast("int")), goals
-
-
-def _closers():
-    """Of the documents after the last that fits: large ones first, each that still fits, then the nearest."""
-    start = F.struct(F.col("filled").alias("at"), F.expr("cast(array() as array<struct<hash:bigint,demand:bigint,closes_at:bigint>>)").alias("took"))
-
-    def pick(s, x):
-        return F.array_append(s["took"], F.struct(x["hash"], x["demand"], s["at"].alias("closes_at")))
-
-    greedy = F.aggregate(
-        "spare", start, lambda s, x: F.when(s["at"] + x["size"] <= F.col("rest"), F.struct((s["at"] + x["size"]).alias("at"), pick(s, x).alias("took"))).otherwise(s)
-    )
-
-    def finish(s):
-        left = F.filter("spare", lambda x: ~F.exists(s["took"], lambda t: (t["hash"] == x["hash"]) & (t["demand"] == x["demand"])))
-        open_ = F.col("rest") - s["at"]
-        best = F.array_min(F.transform(left, lambda x: F.struct(F.abs(open_ - x["size"]).alias("miss"), x["hash"].alias("hash"), x["demand"].alias("demand"))))
-        return F.when(best["miss"] < open_, pick(s, best)).otherwise(s["took"])
-
-    return F.get(F.transform(F.array(greedy), finish), 0)
+    state = save(state, "filled")
+    took = _fill(spare, state)
+    # the shortest of the others, and what it overshoots by
+    more = took.groupBy("source").agg(F.sum("size").alias("more"))
+    state = join_on(state, more, ["source"], "left").withColumn("filled", F.col("filled") + F.coalesce("more", F.lit(0))).withColumn("open", F.col("rest") - F.col("filled"))
+    others = join_on(spare, took.select(*keys), keys, "left_anti")
+    best = others.groupBy("source").agg(F.min(F.struct("size", "hash", "demand")).alias("best"))
+    best = save(join_on(state, best, ["source"]).filter("open > 0").select("source", "filled", "open", "best.*", (F.col("best.size") - F.col("open")).alias("over")), "best")
+    # ranges from the end of the order: first those behind the first that did not fit
+    back = docs.filter("size > 0 and fits").select(*keys, "size", (-F.col("range")).alias("range"))
+    first = F.lit(-(1 << 40))
+    back = back.unionByName(join_on(spare.drop("order"), took.select(*keys), keys, "left_semi").withColumn("range", first - F.col("range")))
+    given = _fill(back.withColumn("order", -F.col("demand")), best.select("source", F.lit(0).cast("long").alias("filled"), F.col("over").alias("rest")))
+    back = given.groupBy("source").agg(F.sum("size").alias("back"))
+    best = join_on(best, back, ["source"], "left").withColumn("back", F.coalesce("back", F.lit(0))).filter("over - back < open")
+    best = save(best.withColumn("closes_at", F.greatest(F.col("filled") - F.col("back"), F.lit(0)).cast("long")), "closer")
+    given = join_on(given, best.select("source"), ["source"], "left_semi").select(*keys, F.lit(True).alias("given"))
+    given = save(given, "given")
+    took = join_on(took, given, keys, "left_anti").select(*keys, "closes_at")
+    return save(took.unionByName(best.select(*keys, "closes_at")), "closings"), given
 
 
 def _time(knots: str, areas: str, u):

@@ -358,3 +358,17 @@ def test_lm_scoring_keeps_rare_words_and_bigrams(spark):
     root = lambda c: (c + 1) / (n + v + 1)
     assert got[1000]["score"] == pytest.approx(np.log10([root(1), 0.25 + 0.75 * root(1), 0.25 + 0.75 * root(100)]).sum())
     assert got[1001]["score"] == pytest.approx(np.log10([root(1), 0.75 * root(1), 0.25 + 0.75 * root(100)]).sum())
+
+
+def test_mixing_fills_a_source_behind_a_long_document(spark):
+    """One document outweighs hundreds: wherever it comes in the order, the others fill the source up to its target."""
+    sized = [(f"long{s}", s * 1000 + i, 150_000 if i == 500 else 400) for s in range(6) for i in range(501)]
+    sized += [(f"plain{s}", 10_000 + s * 1000 + i, 400) for s in range(6) for i in range(385)]
+    names = sorted({s for s, *_ in sized})
+    frame = spark.createDataFrame([(i, s, 1, n) for s, i, n in sized], "id long, source string, key long, size long")
+    schedule = spark.createDataFrame([(s, [1.0, 1.0]) for s in names], "source string, knots array<double>")
+    planned, goals = mixing.plan(frame, schedule)
+    out = planned.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in out} == collections.Counter(s for s, *_ in sized)
+    for r in out:
+        assert r["target"] == pytest.approx(252_000) and abs(r["taken"] - r["target"]) <= 400
