@@ -13,6 +13,7 @@ def load():
         mixing,
         near_dedup,
         packing,
+        periodic_runs,
         quality_classifier,
         quality_rules,
         url_filter,
