@@ -8,6 +8,7 @@ def load():
     from fieldrecon.llm import (  # noqa: F401
         chat,
         common,
+        decontamination,
         exact_dedup,
         lm_scoring,
         mixing,
