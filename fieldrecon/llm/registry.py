@@ -10,6 +10,7 @@ def load():
         common,
         decontamination,
         exact_dedup,
+        hard_negatives,
         lm_scoring,
         mixing,
         near_dedup,
