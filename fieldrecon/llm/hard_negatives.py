@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ class Block:
     """Candidates of one block, scored along the tree of a block of anchors."""
 
     def __init__(self, anchors: pa.Table, candidates: pa.Table):
-        self.anchors = anchors.take(pa.compute.sort_indices(anchors["place"]))
+        self.anchors = anchors.take(pc.sort_indices(anchors["place"]))
         self.no, self.label = candidates["no"].to_numpy(), candidates["label"].to_numpy()
         self.id = np.where(candidates["id"].is_null().to_numpy(), LAST, candidates["id"].fill_null(LAST).to_numpy())
         self.known = candidates["id"].is_valid().to_numpy()
