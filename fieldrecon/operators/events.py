@@ -58,7 +58,7 @@ def latest_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def step_status(outcomes: DataFrame) -> DataFrame:
-    """Status of each (run, step): error once anything failed, else done."""
+    """Status of each (run, step) by its last outcome: error where that failed, else done."""
     sums = outcomes.groupBy("run_id", "step").agg(
         F.max_by("status", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n_events")
     )
@@ -66,6 +66,14 @@ def step_status(outcomes: DataFrame) -> DataFrame:
     return sums.select("run_id", "step", status.alias("status"), "n_events")
 
 
+def all_steps(status: DataFrame) -> DataFrame:
+    """Every step of every run that is known; a step without events is waiting."""
+    runs = status.select("run_id").distinct().withColumn("step", F.explode(F.array(*[F.lit(s) for s in vocab.STEPS])))
+    rows = runs.join(status, ["run_id", "step"], "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_events", "n_timeouts")]
+    return rows.select("run_id", "step", F.coalesce("status", F.lit("waiting")).alias("status"), *counts)
+
+
 def match_log(lines: DataFrame) -> DataFrame:
     """MISS and SKIP lines of a matching log as a table; other lines, and lines cut short, drop out.
 

@@ -12,7 +12,7 @@ from fieldrecon.plans.joins import MATCH, SQL_INDEX, parsed_reports
 from fieldrecon.plans.rules import sql_asset_type
 from fieldrecon.session import new_folder
 from fieldrecon.sources import documents, files, sinks
-from fieldrecon.streaming import live
+from fieldrecon.streaming import live, stateful
 
 C = F.col
 _SET = ["region", "category", "identifier"]
@@ -400,36 +400,38 @@ def o4(spark, sf):
 
 
 # --- event streams ---------------------------------------------------------------------------
-def event_stream(spark, sf):
-    """The events table as a stream."""
-    return live.read_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+THIRDS = ("event_id % 3 > 0", "event_id % 3 = 0")
+#: the second file starts in the middle of a run
+HALVES = ("ts < timestamp'2024-01-15 12:00:00'", "ts >= timestamp'2024-01-15 12:00:00'")
 
 
-def stream_view(spark, sf, name):
-    """A domain view over the event stream."""
-    from fieldrecon.sources.bindings import BINDINGS
-
-    return spark.sql(BINDINGS[name], events=event_stream(spark, sf))
-
+def followed(spark, sf, name, step, arrivals=THIRDS, own=False):
+    """`step(stream, folder)` over a view of events that arrive in several files, with a start after each and one more.
 
-def followed(spark, sf, name, step):
-    """`step(stream, folder)` over a view of events that arrive in two goes, with a start after each and one more."""
+    `own`: the stream runs in a session of its own, with keyed state.
+    """
     from fieldrecon.sources.bindings import BINDINGS
 
     source, folder = new_folder(spark, "arrivals"), new_folder(spark, "followed")
     rows = table(spark, sf, "events")
-    for part in (C("event_id") % 3 > 0, C("event_id") % 3 == 0, None):
+    session = live.stream_session(spark) if own else spark
+    for part in (*arrivals, None):
         if part is not None:
             rows.filter(part).write.mode("append").parquet(source)
-        stream = live.read_stream(spark, source, rows.schema)
-        result = step(spark.sql(BINDINGS[name], events=stream), folder)
+        stream = live.read_stream(session, source, rows.schema)
+        result = step(session.sql(BINDINGS[name], events=stream), folder)
     return result
 
 
+def line_branches(spark, sf):
+    """Stage events and summaries, from one reading of the lines."""
+    branches = {"events": lambda b: events.stage_events(b).drop("ts"), "summaries": lambda b: events.summaries(b).drop("ts")}
+    return followed(spark, sf, "b_event_line", lambda s, folder: live.fork(s, branches, folder))
+
+
 @query("t1_event_line_parse", oracle("b_event_line") + f", {_SQL_EVENTS} SELECT line_id, run_id, file, stage, asset_type, detail, photo FROM ev")
 def t1(spark, sf):
-    rows = live.run_to_table(events.stage_events(stream_view(spark, sf, "b_event_line")).drop("ts"))
-    return rows.select("line_id", "run_id", "file", "stage", "asset_type", "detail", "photo")
+    return line_branches(spark, sf)["events"].select("line_id", "run_id", "file", "stage", "asset_type", "detail", "photo")
 
 
 @query(
@@ -439,12 +441,12 @@ def t1(spark, sf):
     FROM (SELECT *, substr(line, 13) AS j FROM b_event_line WHERE starts_with(line, '__SUMMARY__:'))""",
 )
 def t1_summary(spark, sf):
-    return events.summaries(view(spark, sf, "b_event_line")).drop("ts")
+    return line_branches(spark, sf)["summaries"]
 
 
 @query("t2_running_stage_counts", oracle("b_event_line") + f", {_SQL_EVENTS} SELECT run_id, stage, count(*) AS n FROM ev GROUP BY 1, 2")
 def t2(spark, sf):
-    return followed(spark, sf, "b_event_line", lambda s, folder: live.run_to_table(live.running_stage_counts(events.stage_events(s)), "complete", folder))
+    return followed(spark, sf, "b_event_line", lambda s, folder: live.count_table(live.running_stage_counts(events.stage_events(s)), ["run_id", "stage"], folder))
 
 
 @query(
@@ -476,8 +478,23 @@ def t4(spark, sf):
 )
 def t5(spark, sf):
     """Counts start afresh with every run; the newest run is the current one."""
-    counts = live.running_stage_counts(stage_rows(spark, sf))
-    return counts.withColumn("is_current", C("run_id") == stage_rows(spark, sf).agg(F.max("run_id")).scalar())
+    counts = followed(spark, sf, "b_event_line", lambda s, folder: live.count_table(live.running_stage_counts(events.stage_events(s)), ["run_id", "stage"], folder))
+    return counts.withColumn("is_current", C("run_id") == counts.agg(F.max("run_id")).scalar())
+
+
+@query(
+    "t5_current_counts",
+    oracle("b_event_line") + f", {_SQL_EVENTS} SELECT stage, run_id, count(*) AS n FROM ev WHERE run_id = (SELECT max(run_id) FROM ev) GROUP BY ALL",
+)
+def t5_current(spark, sf):
+    """What a live view shows: the counts of the newest run; a stage that the run has not reached yet is not shown."""
+
+    def step(stream, folder):
+        changes = stateful.current_run_changes(events.stage_events(stream))
+        return live.change_table(changes, ["stage"], folder, spark)
+
+    rows = followed(spark, sf, "b_event_line", step, HALVES, own=True)
+    return rows.filter((C("run_id") == rows.agg(F.max("run_id")).scalar()) & (C("n") > 0))
 
 
 @query(
@@ -499,6 +516,79 @@ def t7(spark, sf):
     return events.step_status(view(spark, sf, "b_outcome"))
 
 
+@query(
+    "t7_step_status_stream",
+    oracle("b_step_event") + """, d AS (SELECT *, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY run_id, step ORDER BY ts, event_id) AS later,
+        (SELECT max(epoch_ms(ts)) - 600000 FROM b_step_event) AS watermark FROM b_step_event),
+      s AS (SELECT run_id, step, count(*) AS n_events, count(*) FILTER (kind = 'progress' AND coalesce(later, watermark) - ms >= 1800000) AS n_timeouts,
+        arg_max(CASE WHEN kind = 'end' THEN 'done' WHEN kind = 'fail' THEN 'error' WHEN watermark - ms >= 1800000 THEN 'error' ELSE 'active' END, (ts, event_id)) AS status
+        FROM d GROUP BY 1, 2)
+    SELECT r.run_id, t.step, coalesce(status, 'waiting') AS status, coalesce(n_events, 0) AS n_events, coalesce(n_timeouts, 0) AS n_timeouts
+    FROM (SELECT DISTINCT run_id FROM b_step_event) r CROSS JOIN (SELECT unnest(['step1', 'step2', 'step3', 'step4', 'step5']) AS step) t LEFT JOIN s ON s.run_id = r.run_id AND s.step = t.step""",
+)
+def t7_stream(spark, sf):
+    """Status of every step of every run: waiting, active, done or error, the last also where a step fell silent."""
+
+    def step(stream, folder):
+        return live.change_table(stateful.step_changes(stream), ["run_id", "step"], folder, spark)
+
+    return events.all_steps(followed(spark, sf, "b_step_event", step, HALVES, own=True))
+
+
+_WATERMARK = """, arrivals AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival) - INTERVAL 2 HOUR AS watermark FROM b_arrival GROUP BY 1),
+  reached AS (SELECT max(watermark) AS watermark FROM arrivals),
+  dealt AS (SELECT b.*, (SELECT max(watermark) FROM arrivals a WHERE a.arrival < b.arrival) AS before FROM b_arrival b)"""
+_MINUTES, _SECONDS = "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss"
+
+
+def arriving(spark, sf, count):
+    """What `count(stream)` appended, over events that come in three files, some of them late; times are UTC throughout."""
+    source, folder = new_folder(spark, "arrivals"), new_folder(spark, "windows")
+    rows, session = view(spark, sf, "b_arrival"), live.stream_session(spark)
+    for k in range(3):
+        rows.filter(C("arrival") == k).drop("arrival").write.mode("append").parquet(source)
+        stream = live.read_stream(session, source, rows.drop("arrival").schema)
+        live.run_to_table(count(stream.withColumn("ts", C("ts").cast("timestamp"))).withColumn("start", C("start").cast("timestamp_ntz")), folder)
+    return spark.read.parquet(folder + "/out")
+
+
+@query(
+    "t8_rate_of_arrivals",
+    oracle("b_arrival") + _WATERMARK + """ SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
+      FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM dealt), reached
+      WHERE (before IS NULL OR w + INTERVAL 1 HOUR > before) AND w + INTERVAL 1 HOUR <= reached.watermark GROUP BY 1, 2""",
+)
+def t8_arrivals(spark, sf):
+    """Hourly counts that a stream closed: events later than the watermark are gone, hours that it has not passed are open."""
+    rows = arriving(spark, sf, lambda s: live.event_rate(s, "1 hour", late="2 hours"))
+    return rows.select(F.date_format("start", _MINUTES).alias("start"), "event_type", "n")
+
+
+@query(
+    "t8_sliding_rate_of_arrivals",
+    oracle("b_arrival") + _WATERMARK + """ SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
+      FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(cast(o AS bigint)) AS w FROM dealt, (SELECT unnest([0, 30]) AS o)), reached
+      WHERE (before IS NULL OR w + INTERVAL 1 HOUR > before) AND w + INTERVAL 1 HOUR <= reached.watermark GROUP BY 1, 2""",
+)
+def t8_sliding_arrivals(spark, sf):
+    rows = arriving(spark, sf, lambda s: live.event_rate(s, "1 hour", "30 minutes", late="2 hours"))
+    return rows.select(F.date_format("start", _MINUTES).alias("start"), "event_type", "n")
+
+
+@query(
+    "t8_sessions_of_arrivals",
+    oracle("b_arrival") + _WATERMARK + """ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (
+        SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+          SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b
+          FROM dealt WHERE before IS NULL OR ts + INTERVAL 30 MINUTE > before)), reached
+      GROUP BY user_id, s, reached.watermark HAVING max(ts) + INTERVAL 30 MINUTE <= reached.watermark""",
+)
+def t8_sessions_arrivals(spark, sf):
+    """Bursts that a stream closed; bursts of three files never meet, as late events that count lie after the watermark."""
+    rows = arriving(spark, sf, lambda s: live.event_sessions(s, "30 minutes", late="2 hours"))
+    return rows.select("user_id", F.date_format("start", _SECONDS).alias("start"), "n")
+
+
 @query(
     "t8_windowed_event_rate",
     """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""",

@@ -313,6 +313,21 @@ SELECT event_id, ts, cast(year(ts) as bigint) * 10000 + month(ts) * 100 + day(ts
 FROM {{events}}
 """
 
+# Signs of life of each step of a run: progress, a good end or a failure.  Step 5 runs every second day.
+BINDINGS["b_step_event"] = f"""
+SELECT event_id, ts, cast(year(ts) as bigint) * 10000 + month(ts) * 100 + day(ts) AS run_id,
+       {_case("user_id", _words("step1", "step2", "step3", "step4", "step5"))} AS step,
+       CASE event_type WHEN 'purchase' THEN 'end' WHEN 'error' THEN 'fail' ELSE 'progress' END AS kind
+FROM {{events}} WHERE NOT (user_id % 5 = 4 AND day(ts) % 2 = 0)
+"""
+
+# Events with the number of the file that brings them: one per third of a month, but some come a file late,
+# a few of them by an hour and the others by days.
+BINDINGS["b_arrival"] = """
+SELECT event_id, ts, user_id, event_type, period + CASE WHEN event_id % 10 = 3 AND (day(ts) IN (3, 13) OR (day(ts) IN (10, 20) AND hour(ts) = 23)) THEN 1 ELSE 0 END AS arrival
+FROM (SELECT *, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END AS period FROM {events})
+"""
+
 # Lines of a matching log, good and bad.
 BINDINGS["b_match_log"] = f"""
 SELECT o_orderkey AS line_id,

@@ -7,11 +7,13 @@ checkpoint, which is the replay-then-follow behaviour of a live view.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldrecon.session import scratch_folder
+from fieldrecon.streaming.tables import BATCH, BatchTable, all_rows, newest_by, tail_by
 
 C = F.col
 
@@ -27,27 +29,54 @@ def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Process all available input into a parquet table and read it back.
+#: settings that a stream's session takes over from the caller's
+_SHARED = ("spark.sql.shuffle.partitions", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled", "spark.checkpoint.dir")
 
-    Called again with the same folder it handles only what is new.
-    """
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams: UTC, keyed state in RocksDB, session windows merged in each task first."""
+    own = spark.newSession()
+    for name in _SHARED:
+        value = spark.conf.get(name, None)
+        if value is not None and own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    return own
+
+
+def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Append all available input to a parquet table and read it back; called again with the same folder it handles only what is new."""
     folder = folder or f"{scratch_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", folder + "/state")
-    if mode == "append":
-        writer = writer.outputMode("append").format("parquet").option("path", folder + "/out")
-    else:
-        # result tables are small (keys, not events); every batch replaces them
-        spark = stream.sparkSession
+    writer.outputMode("append").format("parquet").option("path", folder + "/out").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder + "/out")
+
+
+def follow(stream: DataFrame, kept: BatchTable, mode: str = "append") -> DataFrame:
+    """Bring a table up to date with all available input and read it."""
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", kept.folder + "-state")
+    query.outputMode(mode).foreachBatch(kept.add).start().awaitTermination()
+    return kept.read()
+
 
-        def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
-            _forget(spark, folder, number)
+def fork(stream: DataFrame, branches: dict[str, Callable[[DataFrame], DataFrame]], folder: str | None = None) -> dict[str, DataFrame]:
+    """One reading of a stream into several tables, each a function of the batch; a replayed batch replaces its own rows."""
+    spark = stream.sparkSession
+    folder = folder or f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], stream.schema)
+    kept = {name: BatchTable(spark, f"{folder}/{name}", f(empty).schema, all_rows) for name, f in branches.items()}
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()  # the source is read once for all branches
+        for name, f in branches.items():
+            kept[name].add(f(batch), number)
+        batch.unpersist()
 
-        writer.outputMode("complete").foreachBatch(replace).start().awaitTermination()
-        return _version(spark, folder)
-    writer.start().awaitTermination()
-    return stream.sparkSession.read.parquet(folder + "/out")
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", folder + "/state")
+    query.foreachBatch(write).start().awaitTermination()
+    return {name: t.read() for name, t in kept.items()}
 
 
 def running_stage_counts(events: DataFrame) -> DataFrame:
@@ -63,73 +92,33 @@ def event_rate(events: DataFrame, size: str, slide: str | None = None, late: str
 
 
 def event_sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
-    """Bursts of events of one user, closed by a pause of `gap`; each task merges its own part of a session first."""
-    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Bursts of events of one user, closed by a pause of `gap`."""
     counted = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
         F.count("*").alias("n")
     )
     return counted.select("user_id", C("w.start").alias("start"), C("w.end").alias("end"), "n")
 
 
-def tail_table(stream: DataFrame, size: int, folder: str | None = None) -> DataFrame:
-    """Newest `size` lines of each run, kept in a table that each batch updates.
+def count_table(counts: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Running counts: each batch adds those that it changed, the newest of a key counts."""
+    return follow(counts, _table(counts, folder, newest_by(keys, [BATCH])), "update")
 
-    Each micro-batch is cut to the tail before it meets the stored tails, so
-    the table holds at most `size` rows per run.
-    """
-    spark = stream.sparkSession
-    folder = folder or f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    columns = [f.name for f in stream.schema]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        w = Window.partitionBy("run_id").orderBy(C("line_id").desc())
-        old = _version(spark, folder, number)
-        rows = batch if old is None else batch.unionByName(old)
-        newest = rows.dropDuplicates(["run_id", "line_id"]).withColumn("age", F.row_number().over(w))
-        newest.filter(C("age") <= size).select(*columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
-        _forget(spark, folder, number)
 
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", folder + "/state")
-    query.foreachBatch(merge).start().awaitTermination()
-    return _version(spark, folder)
+def tail_table(stream: DataFrame, size: int, folder: str | None = None) -> DataFrame:
+    """Newest `size` lines of each run; a batch adds at most as many for each run that it holds."""
+    return follow(stream, _table(stream, folder, tail_by("run_id", "line_id", size)))
 
 
 def upsert_table(stream: DataFrame, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
-    """Newest row of each key, merged batch by batch into a versioned table."""
-    spark = stream.sparkSession
-    folder = folder or f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    columns = [f.name for f in stream.schema]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = _version(spark, folder, number)
-        rows = batch if old is None else batch.unionByName(old)
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r"))
-        newest.select("r.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
-        _forget(spark, folder, number)
-
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", folder + "/state")
-    query.foreachBatch(merge).start().awaitTermination()
-    return _version(spark, folder)
-
-
-def _versions(spark: SparkSession, folder: str) -> dict[int, object]:
-    """Complete versions of a table by the number of the batch that wrote them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
-    done = [p for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return {int(p.getName()[1:]): p for p in done}
+    """Newest row of each key; a batch adds one row for each key that it holds."""
+    return follow(stream, _table(stream, folder, newest_by(keys, order)))
 
 
-def _version(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version, or the newest that a batch before `below` wrote: what a replayed batch starts from."""
-    held = [n for n in _versions(spark, folder) if below is None or n < below]
-    return spark.read.parquet(f"{folder}/v{max(held)}") if held else None
+def change_table(changes: DataFrame, keys: list[str], folder: str | None = None, reader: SparkSession | None = None) -> DataFrame:
+    """What the changes of a stateful operator, numbered by `version` within a batch, leave for each key; read by the session `reader`."""
+    return follow(changes, _table(changes, folder, newest_by(keys, [BATCH, "version"]), reader), "update").drop("version")
 
 
-def _forget(spark: SparkSession, folder: str, number: int) -> None:
-    """Drop versions that neither a reader of this one nor a replay of this batch needs."""
-    held = _versions(spark, folder)
-    for n in sorted(held)[:-2]:
-        if n < number:
-            held[n].getFileSystem(spark._jsc.hadoopConfiguration()).delete(held[n], True)
+def _table(stream: DataFrame, folder: str | None, merge, reader: SparkSession | None = None) -> BatchTable:
+    spark = reader or stream.sparkSession
+    return BatchTable(spark, folder or f"{scratch_folder(spark)}/{uuid.uuid4().hex}", stream.schema, merge)
