@@ -7,11 +7,16 @@ windows over the distinct values, of which a pixel axis has few.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldrecon import vocab
 from fieldrecon.functions.text import strip
+from fieldrecon.operators import ordering
 
 C = F.col
 TOL = vocab.CONSENSUS_TOLERANCE
@@ -128,28 +133,47 @@ def keyword_mean(words: DataFrame, keys: list[str], attempt: str) -> DataFrame:
     )
 
 
+def _founders(keys: list[str]):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Spots of one chain after another, in the order of their words: a spot with no founder near it is a founder.
+
+        Founders lie apart by the tolerance or more, so few are held however long a chain is.
+        """
+        chain, held = None, []
+        for rows in batches:
+            keep = []
+            for key, cy in zip(rows[[*keys, "chain"]].itertuples(index=False, name=None), rows["cy"], strict=True):
+                if key != chain:
+                    chain, held = key, []
+                at = bisect.bisect_left(held, cy)
+                near = any(abs(held[i] - cy) < TOL for i in (at - 1, at) if 0 <= i < len(held))
+                if not near:
+                    held.insert(at, cy)
+                keep.append(not near)
+            yield rows[keep]
+
+    return fold
+
+
 def leader_lines(words: DataFrame, keys: list[str], pos: str, left_edge: int = 30) -> DataFrame:
     """Text lines by their founding word; the top-most left-aligned line wins.
 
     Words in order join the first line whose founder is within the tolerance.
-    A repeated position joins the line its first occurrence joined, so the fold
-    runs over the distinct positions of a group, not over its words.
+    A repeated position joins the line its first occurrence joined, so only
+    distinct positions count.  Sorted, they are cut into chains where neighbours
+    lie apart by the tolerance or more: no founder reaches over such a gap, so
+    chains are folded alone.  A chain is read in order, never held as a whole.
     """
     spots = words.withColumn("cy", C("top") + C("height") / 2)
     founder = F.min_by(F.struct("top", "left_x"), pos)
     spots = spots.groupBy(*keys, "cy").agg(F.min(pos).alias("p"), founder.alias("f"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "cy", C("f.top").alias("top"), C("f.left_x").alias("left_x"), "n")))
-    groups = spots.groupBy(*keys).agg(ordered.alias("spots"), F.sum("n").alias("n_words"))
-    lead = "array<struct<cy:double,top:bigint,left_x:bigint>>"
-
-    def step(lines: Column, s: Column) -> Column:
-        joins = F.exists(lines, lambda line: F.abs(line["cy"] - s["cy"]) < TOL)
-        new = F.struct(s["cy"].alias("cy"), s["top"].alias("top"), s["left_x"].alias("left_x"))
-        return F.when(joins, lines).otherwise(F.concat(lines, F.array(new)))
-
-    lines = F.aggregate("spots", F.array().cast(lead), step)
-    groups = groups.withColumn("lines", lines)
-    aligned = F.filter("lines", lambda line: line["left_x"] < left_edge)
-    pick = F.when(F.size(aligned) > 0, aligned).otherwise(C("lines"))
-    return groups.select(*keys, F.array_min(F.transform(pick, lambda line: line["top"])).alias("line_top"),
-                         F.size("lines").alias("n_lines"), "n_words")
+    spots = spots.select(*keys, "cy", "p", C("f.top").alias("top"), C("f.left_x").alias("left_x"), "n")
+    dealt = ordering.deal(spots, [*keys, "cy"])
+    gaps = ordering.previous(dealt, keys, ["cy"], "cy", "before")
+    gaps = gaps.withColumn("cut", F.when(C("cy") - C("before") < TOL, 0).otherwise(1))
+    chains = ordering.running_total(gaps, keys, ["cy"], "cut", "chain").select(*keys, "chain", "p", "cy", "top", "left_x")
+    chains = chains.repartition(*keys, "chain").sortWithinPartitions(*keys, "chain", "p")
+    lines = chains.mapInPandas(_founders(keys), chains.schema)
+    aligned = F.min(F.when(C("left_x") < left_edge, C("top")))
+    lines = lines.groupBy(*keys).agg(F.coalesce(aligned, F.min("top")).alias("line_top"), F.count("*").cast("int").alias("n_lines"))
+    return lines.join(dealt.groupBy(*keys).agg(F.sum("n").alias("n_words")), keys)

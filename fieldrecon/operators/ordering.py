@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldrecon.session import cut_lineage
+
 
 def offsets(df: DataFrame, keys: list[str], buckets: list[str], value, name: str) -> DataFrame:
     """Per (keys, bucket): the sum of `value` over all earlier buckets of the key."""
@@ -45,3 +47,26 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, name: str
     """First n rows of each group; Spark prunes to n per task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+
+
+def deal(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` in ranges of `order` with their number `_part`: a large group spans many tasks.  Written once, as borders come from a sample."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def previous(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """`value` of the row before in the group, carried over the borders of ranges; NULL at the start of a group.  No `value` may be NULL."""
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    ends = dealt.groupBy("_part", *keys).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    starts = ends.select("_part", *keys, F.lag("_end").over(before).alias("_carried"))
+    rows = dealt.withColumn("_own", F.lag(value).over(inside)).join(starts, ["_part", *keys])
+    return rows.withColumn(name, F.coalesce("_own", "_carried")).drop("_own", "_carried")
+
+
+def running_total(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of `value` up to and including the row, within the group."""
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    starts = offsets(dealt, keys, ["_part"], F.sum(value), "_start")
+    rows = dealt.withColumn("_inside", F.sum(value).over(inside)).join(starts, ["_part", *keys])
+    return rows.withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")

@@ -185,7 +185,22 @@ def a18(spark, sf):
     return consensus.keyword_mean(words, GROUP, "attempt").withColumn("y", F.round("y", 6))
 
 
-@query("w13_leader_cluster")
+@query(
+    "w13_leader_cluster",
+    oracle("b_ocr_word").replace("WITH ", "WITH RECURSIVE ", 1) + """, spots AS (
+      SELECT group_id, day_no, top + height / 2.0 AS cy, min(pos) AS p, arg_min(top, pos) AS top, arg_min(left_x, pos) AS left_x, count(*) AS n FROM b_ocr_word
+      WHERE conf >= 20 AND length(trim(text)) >= 3 AND (length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 2 OR length(trim(text)) >= 4) GROUP BY ALL),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY group_id, day_no ORDER BY p) AS k FROM spots),
+    folded AS (SELECT group_id, day_no, k, [{'cy': cy, 'top': top, 'left_x': left_x}] AS lines FROM ordered WHERE k = 1
+      UNION ALL SELECT f.group_id, f.day_no, o.k, CASE WHEN len(list_filter(f.lines, lambda x: abs(x.cy - o.cy) < 10)) > 0 THEN f.lines
+        ELSE list_append(f.lines, {'cy': o.cy, 'top': o.top, 'left_x': o.left_x}) END
+      FROM folded f JOIN ordered o ON o.group_id = f.group_id AND o.day_no = f.day_no AND o.k = f.k + 1),
+    last AS (SELECT group_id, day_no, arg_max(lines, k) AS lines FROM folded GROUP BY ALL)
+    SELECT l.group_id, l.day_no, coalesce(list_min(list_transform(list_filter(lines, lambda x: x.left_x < 30), lambda x: x.top)), list_min(list_transform(lines, lambda x: x.top))) AS line_top,
+      cast(len(lines) AS int) AS n_lines, n_words
+    FROM last l JOIN (SELECT group_id, day_no, cast(sum(n) AS bigint) AS n_words FROM spots GROUP BY ALL) s ON s.group_id = l.group_id AND s.day_no = l.day_no""",
+)
 def w13(spark, sf):
-    words = view(spark, sf, "b_ocr_word").filter("conf >= 20 and length(trim(text)) >= 3").filter(F.length(F.regexp_replace("text", r"[^\p{L}]", "")).between(2, 10**6) | (F.length(F.trim("text")) >= 4))
+    bare, letters = F.length(F.trim("text")), F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    words = view(spark, sf, "b_ocr_word").filter((C("conf") >= 20) & (bare >= 3) & ((letters >= 2) | (bare >= 4)))
     return consensus.leader_lines(words, GROUP, "pos")
