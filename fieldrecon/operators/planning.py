@@ -11,12 +11,14 @@ with one entry per minute.  The plan is made in three passes:
 
 1. the items are range-partitioned in packing order and cut into segments
    (one date, one partition); each segment is summarised by its table;
-2. the tables of a region are applied one after another, which gives the
-   state each segment starts from; there are about as many segments as shuffle
-   partitions plus calendar days, however many items there are;
+2. the tables of up to GROUP neighbouring segments of a day are composed to one,
+   in parallel; the composed tables of a region are applied one after another,
+   and then those inside each group, which gives the state each segment starts from;
 3. each segment places its own items from its own start.
 
-No pass holds more than one segment, or one region's segment tables, in a task.
+A segment holds about SEGMENT items, whatever the session's settings.  A task
+holds one segment, one group of tables, or a region's composed tables: one for
+each of its days and each GROUP * SEGMENT items of it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from fieldrecon.session import cut_lineage
 
 C = F.col
 EPOCH = "1970-01-01"
+#: items of a segment, and segments of a group
+SEGMENT, GROUP = 20_000, 256
 
 
 # --- one segment (numpy inside a task) ---------------------------------------------
@@ -94,15 +98,15 @@ def place_segment(minutes: np.ndarray, capacity: int, clock: int) -> tuple[np.nd
 
 
 # --- the three passes -----------------------------------------------------------------
-def cut_segments(items: DataFrame, order: list[str]) -> DataFrame:
-    """Items with `seg`, the number of the range partition that holds them.
+def cut_segments(items: DataFrame, order: list[str], size: int = SEGMENT) -> DataFrame:
+    """Items with `seg`, the number of the range of about `size` items that holds them.
 
-    Written out once: the partition borders come from a sample, so a second
-    evaluation could cut elsewhere.
+    Written out once: the borders come from a sample, so a second evaluation
+    could cut elsewhere.
     """
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: adaptive merging would change the segments
-    ranged = items.repartitionByRange(parts, *order).withColumn("seg", F.spark_partition_id())
-    return cut_lineage(ranged)
+    kept = cut_lineage(items)  # counted and cut, but derived once
+    parts = max(1, -(-kept.count() // size))
+    return cut_lineage(kept.repartitionByRange(parts, *order).withColumn("seg", F.spark_partition_id()))
 
 
 def _by_day(pdf: pd.DataFrame) -> Iterator[tuple[int, slice]]:
@@ -126,28 +130,41 @@ def _tables(capacity: int):
     return summarise
 
 
-def _starts(teams: int):
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The tables of neighbouring segments of one day, applied one after another, as one table."""
+    pdf = pdf.sort_values("seg")
+    after, opened = np.asarray(pdf["after"].iat[0]), np.asarray(pdf["opened"].iat[0])
+    for a, o in zip(pdf["after"].iloc[1:], pdf["opened"].iloc[1:]):
+        after, opened = np.asarray(a)[after], opened + np.asarray(o)[after]
+    return pd.DataFrame({"region": [pdf["region"].iat[0]], "day": [pdf["day"].iat[0]], "part": [pdf["part"].iat[0]], "after": [after], "opened": [opened]})
+
+
+def _starts(teams: int, number: str):
+    """State in which each table of a region starts; tables by day and `number`, from a known state where there is one."""
+
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "seg"])
-        shift, clock, rows = None, 0, []
-        for day, seg, after, opened in zip(pdf["day"], pdf["seg"], pdf["after"], pdf["opened"]):
+        pdf = pdf.sort_values(["day", number])
+        known = "shift0" in pdf.columns
+        shift, clock = (int(pdf["shift0"].iat[0]), int(pdf["clock0"].iat[0])) if known else (None, 0)
+        rows = []
+        for day, seg, after, opened in zip(pdf["day"], pdf[number], pdf["after"], pdf["opened"]):
             if shift is None or shift < day * teams:
                 shift, clock = int(day) * teams, 0
             rows.append((pdf["region"].iat[0], day, seg, shift, clock))
             shift, clock = shift + int(opened[clock]), int(after[clock])
-        return pd.DataFrame(rows, columns=["region", "day", "seg", "shift0", "clock0"])
+        return pd.DataFrame(rows, columns=["region", "day", number, "shift0", "clock0"])
 
     return chain
 
 
 def _places(capacity: int, columns: list[str]):
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "path", "ord"], kind="stable")
-        minutes, clock = pdf["minutes"].to_numpy(np.int64), pdf["clock0"].to_numpy()
-        shift, start = pdf["shift0"].to_numpy(np.int64).copy(), np.zeros(len(pdf), dtype=np.int64)
-        for _, part in _by_day(pdf):
-            opened, start[part] = place_segment(minutes[part], capacity, int(clock[part.start]))
-            shift[part] += opened
+        minutes, first = pdf["minutes"].to_numpy(np.int64), starts.set_index("day")
+        shift, start = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
+        for day, part in _by_day(pdf):
+            opened, start[part] = place_segment(minutes[part], capacity, int(first.at[day, "clock0"]))
+            shift[part] = int(first.at[day, "shift0"]) + opened
         return pdf[columns].assign(shift=shift, start=start)
 
     return place
@@ -158,26 +175,31 @@ def pack_shifts(
     teams: int = vocab.TEAMS,
     shift_start: int = vocab.SHIFT_START,
     shift_end: int = vocab.SHIFT_END,
+    segment: int = SEGMENT,
+    group: int = GROUP,
 ) -> DataFrame:
     """Plan of the items: region, plan_date, path, ord, minutes (+ identifier).
 
     Adds plan_day, team, start/mid/end (timestamps), over_shift.
     """
     capacity = shift_end - shift_start
-    keys = ["region", "day", "seg"]
     items = items.withColumn("day", F.datediff("plan_date", F.lit(EPOCH).cast("date")))
-    cut = cut_segments(items, ["region", "day", "path", "ord"])
+    cut = cut_segments(items, ["region", "day", "path", "ord"], segment)
 
-    # one call per region and range partition: its days are handled together
-    tables = cut.select(*keys, "path", "ord", "minutes").groupBy("region", "seg").applyInPandas(
+    # one call per region and range: its days are handled together
+    tables = cut.select("region", "day", "seg", "path", "ord", "minutes").groupBy("region", "seg").applyInPandas(
         _tables(capacity), "region string, day int, seg int, after array<int>, opened array<bigint>"
     )
-    starts = tables.groupBy("region").applyInPandas(
-        _starts(teams), "region string, day int, seg int, shift0 bigint, clock0 int"
+    tables = cut_lineage(tables.withColumn("part", F.floor(C("seg") / group).cast("int")))
+    within = ["region", "day", "part"]
+    composed = tables.groupBy(*within).applyInPandas(_compose, "region string, day int, part int, after array<int>, opened array<bigint>")
+    parts = composed.groupBy("region").applyInPandas(_starts(teams, "part"), "region string, day int, part int, shift0 bigint, clock0 int")
+    starts = tables.join(parts, within).groupBy(*within).applyInPandas(
+        _starts(teams, "seg"), "region string, day int, seg int, shift0 bigint, clock0 int"
     )
     columns = [c for c in cut.columns if c not in ("seg",)]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in columns)
-    placed = cut.join(starts, keys).groupBy("region", "seg").applyInPandas(
+    placed = cut.groupBy("region", "seg").cogroup(starts.groupBy("region", "seg")).applyInPandas(
         _places(capacity, columns), schema + ", shift bigint, start bigint"
     )
     plan_day = F.date_add(F.lit(EPOCH).cast("date"), F.floor(C("shift") / teams).cast("int"))
@@ -219,49 +241,6 @@ def date_reset_chains(items: DataFrame) -> DataFrame:
 
 
 def overlapping_slots(plan: DataFrame) -> DataFrame:
-    """Pairs of neighbouring entries of one team and day that overlap."""
-    w = Window.partitionBy("region", "plan_day", "team").orderBy("t0", "t100")
-    return plan.withColumn("previous_end", F.lag("t100").over(w)).filter(C("previous_end") > C("t0"))
-
-
-def expand_assets(reports: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row per planned asset of each report: report columns, identifier, ord.
-
-    Reports of multi-asset categories with several lines give each distinct
-    identifier in order of first appearance; every other report gives one: its
-    first line's identifier, else the station in its name, else its stem.
-
-    reports: report_id, category, file_name.  lines: report_id, line and the
-    order columns line_no, part_id, supp_id.
-    """
-    from fieldrecon.functions import text
-
-    order = F.struct("line_no", "part_id", "supp_id")
-    rows = lines.join(reports.select("report_id", "category"), "report_id")
-    rows = rows.withColumn("seen", text.category_seen(C("line"), C("category")))
-    rows = rows.withColumn("identifier", text.identifier_under(C("line"), C("seen")))
-    ids = rows.groupBy("report_id", "identifier").agg(
-        F.min(order).alias("first_at"), F.count("*").alias("n"), F.max(F.upper("line").contains("RADIO")).alias("radio")
-    )
-    # read twice below, and the identifier rules are the costly part of the job
-    ids = cut_lineage(ids)
-    totals = ids.groupBy("report_id").agg(
-        F.sum("n").alias("n_lines"), F.min_by("identifier", "first_at").alias("first_identifier"),
-        F.max("radio").alias("radio"),
-    )
-    multi = C("category").isin(vocab.MULTI_ASSET_CATEGORIES) & (F.coalesce("n_lines", F.lit(0)) > 1)
-    known = reports.join(totals, "report_id", "left").withColumn("multi", multi)
-    named = ids.filter("identifier is not null").select(
-        C("report_id").alias("id_report"), C("identifier").alias("id"), C("first_at.*")
-    )
-    pairs = known.join(named, (C("report_id") == C("id_report")) & C("multi"), "left")
-    station = text.let(
-        text.station_from_name(C("file_name")),
-        lambda s: F.when((s == "BOO") & C("radio"), "RADIO_BOO").otherwise(s),
-    )
-    single = F.coalesce("first_identifier", station, F.regexp_replace("file_name", r"\.[^.]*$", ""))
-    pairs = pairs.filter(C("id").isNotNull() | ~C("multi"))
-    return pairs.select(
-        *reports.columns, F.when(C("multi"), C("id")).otherwise(single).alias("identifier"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("line_no", "part_id", "supp_id")],
-    )
+    """Entries that begin before an earlier entry of the same team and day is over, with the time when that is."""
+    w = Window.partitionBy("region", "plan_day", "team").orderBy("t0", "t100").rowsBetween(Window.unboundedPreceding, -1)
+    return plan.withColumn("previous_end", F.max("t100").over(w)).filter(C("previous_end") > C("t0"))

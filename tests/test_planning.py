@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from fieldrecon.operators import planning
 
@@ -30,7 +31,9 @@ def test_segment_functions():
             assert list(zip(*map(list, got))) == out
 
 
-def test_pack_shifts_equals_sequential_plan(spark):
+@pytest.mark.parametrize("segment, group", [(20_000, 256), (25, 3), (7, 2)])
+def test_pack_shifts_equals_sequential_plan(spark, segment, group):
+    """Also where a day spans many segments and several groups of them."""
     rng = np.random.default_rng(1)
     base = dt.date(2025, 1, 1)
     rows = [
@@ -38,7 +41,7 @@ def test_pack_shifts_equals_sequential_plan(spark):
         for i in range(600)
     ]
     items = spark.createDataFrame(rows, "region string, plan_date date, path string, ord bigint, minutes int")
-    got = {r["path"]: (r["plan_day"], r["team"], r["t0"]) for r in planning.pack_shifts(items).collect()}
+    got = {r["path"]: (r["plan_day"], r["team"], r["t0"]) for r in planning.pack_shifts(items, segment=segment, group=group).collect()}
     assert len(got) == len(rows)
     for region in ("BTP BD", "BTP JAK"):
         shift, clock = None, 0
@@ -52,3 +55,11 @@ def test_pack_shifts_equals_sequential_plan(spark):
             start = dt.datetime.combine(plan_day, dt.time()) + dt.timedelta(minutes=420 + clock)
             assert got[path] == (plan_day, shift % 2 + 1, start)
             clock += w
+
+
+def test_overlaps_are_seen_behind_a_long_entry(spark):
+    at = lambda h: dt.datetime(2025, 1, 1, h)
+    rows = [("r", dt.date(2025, 1, 1), team, at(a), at(b)) for team, a, b in ((1, 7, 12), (1, 8, 9), (1, 10, 11), (1, 12, 13), (2, 7, 8), (2, 8, 9))]
+    plan = spark.createDataFrame(rows, "region string, plan_day date, team int, t0 timestamp, t100 timestamp")
+    found = planning.overlapping_slots(plan).collect()
+    assert sorted((r["team"], r["t0"].hour, r["previous_end"].hour) for r in found) == [(1, 8, 12), (1, 10, 12)]
