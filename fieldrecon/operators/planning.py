@@ -117,9 +117,9 @@ def _by_day(pdf: pd.DataFrame) -> Iterator[tuple[int, slice]]:
         yield int(days[lo]), slice(int(lo), int(hi))
 
 
-def _tables(capacity: int):
+def _tables(capacity: int, order: list[str]):
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "path", "ord"], kind="stable")
+        pdf = pdf.sort_values(order, kind="stable")
         minutes = pdf["minutes"].to_numpy(np.int64)
         rows = [(day, *segment_table(minutes[part], capacity)) for day, part in _by_day(pdf)]
         out = pd.DataFrame(rows, columns=["day", "after", "opened"])
@@ -131,35 +131,56 @@ def _tables(capacity: int):
 
 
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The tables of neighbouring segments of one day, applied one after another, as one table."""
-    pdf = pdf.sort_values("seg")
-    after, opened = np.asarray(pdf["after"].iat[0]), np.asarray(pdf["opened"].iat[0])
-    for a, o in zip(pdf["after"].iloc[1:], pdf["opened"].iloc[1:]):
-        after, opened = np.asarray(a)[after], opened + np.asarray(o)[after]
-    return pd.DataFrame({"region": [pdf["region"].iat[0]], "day": [pdf["day"].iat[0]], "part": [pdf["part"].iat[0]], "after": [after], "opened": [opened]})
+    """Tables of neighbouring segments: those of one day, applied one after another, become one table."""
+    pdf, rows = pdf.sort_values(["day", "seg"]), []
+    for day, after, opened in zip(pdf["day"], pdf["after"], pdf["opened"]):
+        if rows and rows[-1][0] == day:
+            last = rows[-1]
+            rows[-1] = (day, np.asarray(after)[last[1]], last[2] + np.asarray(opened)[last[1]])
+        else:
+            rows.append((day, np.asarray(after), np.asarray(opened)))
+    out = pd.DataFrame(rows, columns=["day", "after", "opened"])
+    out.insert(0, "region", pdf["region"].iat[0])
+    out.insert(2, "part", pdf["part"].iat[0])
+    return out
+
+
+def _apply(rows, teams: int, shift: int | None = None, clock: int = 0):
+    """(day, number, shift, minute) in which each table (day, number, after, opened) starts."""
+    for day, number, after, opened in rows:
+        if shift is None or shift < day * teams:
+            shift, clock = int(day) * teams, 0
+        yield day, number, shift, clock
+        shift, clock = shift + int(opened[clock]), int(after[clock])
+
+
+def _region_starts(teams: int):
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["day", "part"])
+        out = pd.DataFrame(_apply(zip(pdf["day"], pdf["part"], pdf["after"], pdf["opened"]), teams), columns=["day", "part", "shift0", "clock0"])
+        out.insert(0, "region", pdf["region"].iat[0])
+        return out
 
+    return chain
 
-def _starts(teams: int, number: str):
-    """State in which each table of a region starts; tables by day and `number`, from a known state where there is one."""
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", number])
-        known = "shift0" in pdf.columns
-        shift, clock = (int(pdf["shift0"].iat[0]), int(pdf["clock0"].iat[0])) if known else (None, 0)
-        rows = []
-        for day, seg, after, opened in zip(pdf["day"], pdf[number], pdf["after"], pdf["opened"]):
-            if shift is None or shift < day * teams:
-                shift, clock = int(day) * teams, 0
-            rows.append((pdf["region"].iat[0], day, seg, shift, clock))
-            shift, clock = shift + int(opened[clock]), int(after[clock])
-        return pd.DataFrame(rows, columns=["region", "day", number, "shift0", "clock0"])
+def _segment_starts(teams: int):
+    def chain(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Of one part of a region; `known`: the state in which each of its days starts."""
+        pdf, known, rows = pdf.sort_values(["day", "seg"]), known.set_index("day"), []
+        for day, part in _by_day(pdf):
+            tables = zip(pdf["day"].iloc[part], pdf["seg"].iloc[part], pdf["after"].iloc[part], pdf["opened"].iloc[part])
+            rows += _apply(tables, teams, int(known.at[day, "shift0"]), int(known.at[day, "clock0"]))
+        out = pd.DataFrame(rows, columns=["day", "seg", "shift0", "clock0"])
+        out.insert(0, "region", pdf["region"].iat[0])
+        return out
 
     return chain
 
 
-def _places(capacity: int, columns: list[str]):
+def _places(capacity: int, columns: list[str], order: list[str]):
     def place(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "path", "ord"], kind="stable")
+        pdf = pdf.sort_values(order, kind="stable")
         minutes, first = pdf["minutes"].to_numpy(np.int64), starts.set_index("day")
         shift, start = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
         for day, part in _by_day(pdf):
@@ -177,30 +198,31 @@ def pack_shifts(
     shift_end: int = vocab.SHIFT_END,
     segment: int = SEGMENT,
     group: int = GROUP,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Plan of the items: region, plan_date, path, ord, minutes (+ identifier).
+    """Plan of the items: region, plan_date, path, ord, minutes (+ identifier), in the order of date, path, ord and `ties`.
 
     Adds plan_day, team, start/mid/end (timestamps), over_shift.
     """
     capacity = shift_end - shift_start
     items = items.withColumn("day", F.datediff("plan_date", F.lit(EPOCH).cast("date")))
-    cut = cut_segments(items, ["region", "day", "path", "ord"], segment)
+    order = ["day", "path", "ord", *ties]
+    cut = cut_segments(items, ["region", *order], segment)
 
     # one call per region and range: its days are handled together
-    tables = cut.select("region", "day", "seg", "path", "ord", "minutes").groupBy("region", "seg").applyInPandas(
-        _tables(capacity), "region string, day int, seg int, after array<int>, opened array<bigint>"
+    tables = cut.select("region", "seg", *order, "minutes").groupBy("region", "seg").applyInPandas(
+        _tables(capacity, order), "region string, day int, seg int, after array<int>, opened array<bigint>"
     )
     tables = cut_lineage(tables.withColumn("part", F.floor(C("seg") / group).cast("int")))
-    within = ["region", "day", "part"]
-    composed = tables.groupBy(*within).applyInPandas(_compose, "region string, day int, part int, after array<int>, opened array<bigint>")
-    parts = composed.groupBy("region").applyInPandas(_starts(teams, "part"), "region string, day int, part int, shift0 bigint, clock0 int")
-    starts = tables.join(parts, within).groupBy(*within).applyInPandas(
-        _starts(teams, "seg"), "region string, day int, seg int, shift0 bigint, clock0 int"
+    composed = tables.groupBy("region", "part").applyInPandas(_compose, "region string, day int, part int, after array<int>, opened array<bigint>")
+    parts = composed.groupBy("region").applyInPandas(_region_starts(teams), "region string, day int, part int, shift0 bigint, clock0 int")
+    starts = tables.groupBy("region", "part").cogroup(parts.groupBy("region", "part")).applyInPandas(
+        _segment_starts(teams), "region string, day int, seg int, shift0 bigint, clock0 int"
     )
     columns = [c for c in cut.columns if c not in ("seg",)]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in columns)
     placed = cut.groupBy("region", "seg").cogroup(starts.groupBy("region", "seg")).applyInPandas(
-        _places(capacity, columns), schema + ", shift bigint, start bigint"
+        _places(capacity, columns, order), schema + ", shift bigint, start bigint"
     )
     plan_day = F.date_add(F.lit(EPOCH).cast("date"), F.floor(C("shift") / teams).cast("int"))
     begin = C("start") + shift_start
@@ -240,7 +262,55 @@ def date_reset_chains(items: DataFrame) -> DataFrame:
     )
 
 
+def slot_ends(plan: DataFrame) -> DataFrame:
+    """Adds `previous_end`: when the last of the earlier entries of the same team and day is over."""
+    w = Window.partitionBy("region", "plan_day", "team").orderBy("t0", "t100", "path", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    return plan.withColumn("previous_end", F.max("t100").over(w))
+
+
 def overlapping_slots(plan: DataFrame) -> DataFrame:
-    """Entries that begin before an earlier entry of the same team and day is over, with the time when that is."""
-    w = Window.partitionBy("region", "plan_day", "team").orderBy("t0", "t100").rowsBetween(Window.unboundedPreceding, -1)
-    return plan.withColumn("previous_end", F.max("t100").over(w)).filter(C("previous_end") > C("t0"))
+    """Entries that begin before an earlier entry of the same team and day is over."""
+    return slot_ends(plan).filter(C("previous_end") > C("t0"))
+
+
+def expand_assets(reports: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per planned asset of each report: report columns, identifier, ord.
+
+    Reports of multi-asset categories with several lines give each distinct
+    identifier in order of first appearance; every other report gives one: its
+    first line's identifier, else the station in its name, else its stem.
+
+    reports: report_id, category, file_name.  lines: report_id, line and the
+    order columns line_no, part_id, supp_id.
+    """
+    from fieldrecon.functions import text
+
+    order = F.struct("line_no", "part_id", "supp_id")
+    rows = lines.join(reports.select("report_id", "category"), "report_id")
+    rows = rows.withColumn("seen", text.category_seen(C("line"), C("category")))
+    rows = rows.withColumn("identifier", text.identifier_under(C("line"), C("seen")))
+    ids = rows.groupBy("report_id", "identifier").agg(
+        F.min(order).alias("first_at"), F.count("*").alias("n"), F.max(F.upper("line").contains("RADIO")).alias("radio")
+    )
+    # read twice below, and the identifier rules are the costly part of the job
+    ids = cut_lineage(ids)
+    totals = ids.groupBy("report_id").agg(
+        F.sum("n").alias("n_lines"), F.min_by("identifier", "first_at").alias("first_identifier"),
+        F.max("radio").alias("radio"),
+    )
+    multi = C("category").isin(vocab.MULTI_ASSET_CATEGORIES) & (F.coalesce("n_lines", F.lit(0)) > 1)
+    known = reports.join(totals, "report_id", "left").withColumn("multi", multi)
+    named = ids.filter("identifier is not null").select(
+        C("report_id").alias("id_report"), C("identifier").alias("id"), C("first_at.*")
+    )
+    pairs = known.join(named, (C("report_id") == C("id_report")) & C("multi"), "left")
+    station = text.let(
+        text.station_from_name(C("file_name")),
+        lambda s: F.when((s == "BOO") & C("radio"), "RADIO_BOO").otherwise(s),
+    )
+    single = F.coalesce("first_identifier", station, F.regexp_replace("file_name", r"\.[^.]*$", ""))
+    pairs = pairs.filter(C("id").isNotNull() | ~C("multi"))
+    return pairs.select(
+        *reports.columns, F.when(C("multi"), C("id")).otherwise(single).alias("identifier"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("line_no", "part_id", "supp_id")],
+    )

@@ -103,15 +103,53 @@ def plan_items(spark, sf):
 
 
 def packed(spark, sf):
-    return planning.pack_shifts(plan_items(spark, sf))
+    return planning.pack_shifts(plan_items(spark, sf), ties=("report_id",))
 
 
 def _minute(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
 
 
-# no oracle: packing is sequential; tests compare it with a plain fold
-@query("w5_shift_packing")
+# One step of the recursion fills what is left of a shift from the items of one day: state is the next item, the
+# shift and its minute.  `fits` is the last item of the day that fits an empty shift begun by the item.
+_CAPACITY = vocab.SHIFT_END - vocab.SHIFT_START
+_SQL_PLAN = _SQL_BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+summed AS (SELECT *, date_diff('day', DATE '1970-01-01', plan_date) AS day, row_number() OVER (PARTITION BY region ORDER BY plan_date, path, ord, report_id) AS k,
+  sum(minutes) OVER (PARTITION BY region ORDER BY plan_date, path, ord, report_id ROWS UNBOUNDED PRECEDING) AS upto FROM items),
+days AS (SELECT region, day, min(k) AS k, max(k) AS last_k, list(upto ORDER BY k) AS sums FROM summed GROUP BY 1, 2),
+step_items AS (SELECT s.region, s.k, s.day, s.upto - s.minutes AS before, d.last_k, CASE WHEN d.k = s.k THEN d.sums END AS sums,
+    greatest(s.k, max(s.k) OVER (PARTITION BY s.region, s.day ORDER BY s.upto RANGE BETWEEN CURRENT ROW AND greatest({_CAPACITY} - s.minutes, 0) FOLLOWING)) AS fits
+  FROM summed s JOIN days d ON d.region = s.region AND d.day = s.day),
+steps AS (
+  SELECT region, cast(1 AS bigint) AS k, cast(0 AS bigint) AS first_k, cast(0 AS bigint) AS last_k, cast(-1 AS bigint) AS shift, cast(0 AS bigint) AS clock, cast(-1 AS bigint) AS at_shift, cast(0 AS bigint) AS at_clock
+  FROM (SELECT DISTINCT region FROM items)
+  UNION ALL
+  SELECT region, n + 1, k, n, CASE WHEN n = day_last THEN s ELSE s + 1 END, CASE WHEN n = day_last THEN c + used ELSE 0 END, s, c FROM (
+    SELECT *, CASE WHEN n >= k THEN upto_n - before ELSE 0 END AS used FROM (
+      SELECT q.*, coalesce(u.upto, 0) AS upto_n FROM (
+        SELECT r.region, r.k, r.s, r.c, i.before, i.last_k AS day_last,
+          CASE WHEN r.c = 0 THEN i.fits ELSE r.k - 1 + len(list_filter(i.sums, lambda x: x - i.before + r.c <= {_CAPACITY})) END AS n
+        FROM (SELECT p.region, p.k, CASE WHEN p.shift < j.day * {vocab.TEAMS} THEN j.day * {vocab.TEAMS} ELSE p.shift END AS s,
+                CASE WHEN p.shift < j.day * {vocab.TEAMS} THEN 0 ELSE p.clock END AS c
+              FROM steps p JOIN step_items j ON j.region = p.region AND j.k = p.k) r
+        JOIN step_items i ON i.region = r.region AND i.k = r.k) q
+      LEFT JOIN summed u ON u.region = q.region AND u.k = q.n))),
+placed AS (SELECT i.*, p.at_shift AS shift, p.at_clock + i.upto - i.minutes - (f.upto - f.minutes) AS start
+  FROM steps p JOIN summed i ON i.region = p.region AND i.k BETWEEN p.first_k AND p.last_k JOIN summed f ON f.region = p.region AND f.k = p.first_k WHERE p.first_k > 0),
+plan AS (SELECT region, path, ord, identifier, minutes, DATE '1970-01-01' + cast(shift // {vocab.TEAMS} AS int) AS plan_day, cast(shift % {vocab.TEAMS} + 1 AS int) AS team,
+    {vocab.SHIFT_START} + start AS begin FROM placed)
+"""
+
+
+def _sql_minute(minute):
+    return f"strftime(cast(plan_day AS timestamp) + to_minutes(cast({minute} AS bigint)), '%Y-%m-%d %H:%M')"
+
+
+@query(
+    "w5_shift_packing",
+    _SQL_PLAN + f"""SELECT region, path, identifier, minutes, cast(plan_day AS varchar) AS plan_day, team, {_sql_minute("begin")} AS t0,
+      {_sql_minute("round_even(begin + minutes / 2, 0)")} AS t50, {_sql_minute("begin + minutes")} AS t100, begin + minutes > {vocab.SHIFT_END} AS over_shift FROM plan""",
+)
 def w5(spark, sf):
     return packed(spark, sf).select(
         "region", "path", "identifier", "minutes", C("plan_day").cast("string").alias("plan_day"), "team",
@@ -149,13 +187,14 @@ def w11(spark, sf):
     )
 
 
-@query("plan_overlap_audit")
+@query(
+    "plan_overlap_audit",
+    _SQL_PLAN + """, ends AS (SELECT *, max(begin + minutes) OVER (PARTITION BY region, plan_day, team ORDER BY begin, begin + minutes, path, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_end FROM plan)
+    SELECT region, team, count(*) AS n_entries, cast(sum(minutes) AS bigint) AS minutes, count(DISTINCT plan_day) AS n_days, count(*) FILTER (previous_end > begin) AS n_overlaps FROM ends GROUP BY 1, 2""",
+)
 def plan_overlap(spark, sf):
     """Load of each team, and how often a slot was used twice (never, by design)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("region", "plan_day", "team").orderBy("t0", "t100")
-    rows = packed(spark, sf).withColumn("clash", F.coalesce(F.lag("t100").over(w) > C("t0"), F.lit(False)))
+    rows = planning.slot_ends(packed(spark, sf)).withColumn("clash", F.coalesce(C("previous_end") > C("t0"), F.lit(False)))
     days = rows.groupBy("region", "team", "plan_day").agg(
         F.count("*").alias("n"), F.sum("minutes").alias("m"), F.count_if("clash").alias("c")
     )

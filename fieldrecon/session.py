@@ -29,16 +29,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and restart its lineage.
+    """Write `df` once to the cluster's shared folder and read it back, which restarts its lineage.
 
-    The folder is the cluster's `spark.checkpoint.dir`.  Only a local master
-    that names none gets a temporary one, because there the driver and the
-    executors share one disk.
+    The folder is `spark.checkpoint.dir`.  Only a local master that names none
+    gets a temporary one, because there the driver and the executors share one disk.
+    (`checkpoint` would derive the rows twice: once to count them, once to write them.)
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(_shared(spark))
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _shared(spark: SparkSession) -> str:

@@ -59,7 +59,7 @@ def test_pack_shifts_equals_sequential_plan(spark, segment, group):
 
 def test_overlaps_are_seen_behind_a_long_entry(spark):
     at = lambda h: dt.datetime(2025, 1, 1, h)
-    rows = [("r", dt.date(2025, 1, 1), team, at(a), at(b)) for team, a, b in ((1, 7, 12), (1, 8, 9), (1, 10, 11), (1, 12, 13), (2, 7, 8), (2, 8, 9))]
-    plan = spark.createDataFrame(rows, "region string, plan_day date, team int, t0 timestamp, t100 timestamp")
+    rows = [("r", dt.date(2025, 1, 1), team, at(a), at(b), "p", 1) for team, a, b in ((1, 7, 12), (1, 8, 9), (1, 10, 11), (1, 12, 13), (2, 7, 8), (2, 8, 9))]
+    plan = spark.createDataFrame(rows, "region string, plan_day date, team int, t0 timestamp, t100 timestamp, path string, ord int")
     found = planning.overlapping_slots(plan).collect()
     assert sorted((r["team"], r["t0"].hour, r["previous_end"].hour) for r in found) == [(1, 8, 12), (1, 10, 12)]
