@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldrecon import vocab
 from fieldrecon.functions.text import strip
+from fieldrecon.operators import ordering
 
 C = F.col
 
@@ -88,5 +89,14 @@ def sidecar_join(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """line_id, line of a text log."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), C("value").alias("line"))
+    """line_id, line of text logs: lines are numbered from 1 through the files in the order of their paths.
+
+    A large file is read in splits by many tasks: each numbers its own lines,
+    and the numbers of lines of the splits before it are added.  A missing path
+    gives no rows.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "line_id long, line string")
+    place = [C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    lines = spark.read.text(path).select(*place, C("value").alias("line"))
+    return ordering.rank_in_groups(lines, [], ["file", "block"], ["row"], "line_id").select("line_id", "line")
