@@ -5,9 +5,13 @@ into sketches: log-linear histograms of whole numbers (exact below 64, 32 bins t
 each power of two above, so a quantile is off by 1/32 at most).  A sketch is a set
 of (bin, count) rows, and sketches merge by adding counts, so each task sends one
 row for each bin it met, hot sources included, and small groups borrow the merged
-sketch of their language, or of all rows.  A group's quantiles give its fences;
-the fences are joined to the measures, and a row is kept if it passes the base
-rules and lies within all fences of its group.
+sketch of their language, or of all rows.  The median and the quartiles give the
+fences, so junk below a quarter of a group hardly moves them; and no group's fence is
+wider than its language's, nor, for measures of junk (upper side only), than that of
+all rows, so junk that fills a whole source meets the fences of the others.  Lengths
+of words differ between languages, so all rows do not bound them.  The fences are
+joined to the measures, and a row is kept if it passes the base rules and lies within
+all fences of its group.
 
 All of it is DataFrame functions.  Cases: a null text has no words and fails; null
 languages and sources form groups of their own; repeated rows are judged alike;
@@ -28,8 +32,10 @@ MIN_WORDS = 20
 MAX_REPEATED = 30
 #: rows a group needs for fences of its own
 MIN_GROUP = 50
-#: fences lie REACH times the spread (median to 10 % or 90 % quantile) beyond that quantile, plus the slack
-REACH = 3
+#: fences lie REACH times the spread (median to quartile) beyond the quartile, plus the slack
+REACH = 6
+#: the quantiles in percent: lower quartile, median, upper quartile
+QUANTILES = (25, 50, 75)
 #: measure: (numerator, denominator, scale, sides, slack); a measure is numerator * scale // denominator
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", 1_000_000, "upper", 50_000),
@@ -102,29 +108,41 @@ def merge(parts: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, rows, lo_<measure>, hi_<measure>) from the sketches' 10, 50 and 90 % quantiles."""
+    """(groups, rows, lo_<measure>, hi_<measure>) from the sketches' quartiles and medians."""
     by = Window.partitionBy(*groups, "measure")
     run = F.sum("n").over(by.orderBy("bin"))
     d = sketch.withColumn("upto", run).withColumn("rows", F.sum("n").over(by))
-    q = {p: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * p, F.col("bin"))) for p in (10, 50, 90)}
+    q = {p: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * p, F.col("bin"))) for p in QUANTILES}
     d = d.groupBy(*groups, "measure", "rows").agg(*[top_of(b).alias(f"q{p}") for p, b in q.items()])
     slack = F.create_map(*[F.lit(x) for m in MEASURES for x in (m, MEASURES[m][4])])[F.col("measure")]
-    lo = F.col("q10") - REACH * (F.col("q50") - F.col("q10")) - slack
-    hi = F.col("q90") + REACH * (F.col("q90") - F.col("q50")) + slack
+    lo = F.col("q25") - REACH * (F.col("q50") - F.col("q25")) - slack
+    hi = F.col("q75") + REACH * (F.col("q75") - F.col("q50")) + slack
     wide = [F.max(F.when(F.col("measure") == m, x)).alias(f"{side}_{m}") for m in MEASURES for side, x in (("lo", lo), ("hi", hi))]
     return d.groupBy(*groups).agg(F.max("rows").alias("rows"), *wide)
 
 
 def group_fences(measured: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row for each (lang, source): its own fences, or those of its language, or those of all rows."""
+    """One row for each (lang, source): the narrowest of its own fences, those of its language and, for measures of junk, those of all rows.
+
+    Fences from fewer than `min_group` rows do not count; where none is left, those of all rows do.
+    """
     fine = save(sketches(measured, [lang, source]), "sketches")
     own, wider, whole = fences(fine, [lang, source]), fences(merge(fine, [lang]), [lang]), fences(merge(fine, []), [])
     names = [f"{side}_{m}" for m in MEASURES for side in ("lo", "hi")]
     wider = wider.select(lang, F.col("rows").alias("w_rows"), *[F.col(n).alias(f"w_{n}") for n in names])
     every = whole.first() or dict.fromkeys(names)  # one row
     d = join_on(own, wider, [lang])
-    use = lambda n: F.when(F.col("rows") >= min_group, F.col(n)).when(F.col("w_rows") >= min_group, F.col(f"w_{n}")).otherwise(F.lit(every[n])).alias(n)
-    return save(d.select(lang, source, *[use(n) for n in names]), "fences")
+
+    def use(side: str, m: str):
+        n = f"{side}_{m}"
+        all_rows = F.lit(every[n]).cast("long")
+        levels = [F.when(F.col("rows") >= min_group, F.col(n)), F.when(F.col("w_rows") >= min_group, F.col(f"w_{n}"))]
+        if MEASURES[m][3] == "upper":
+            levels.append(all_rows)
+        narrowest = F.least(*levels) if side == "hi" else F.greatest(*levels)
+        return F.coalesce(narrowest, all_rows).alias(n)
+
+    return save(d.select(lang, source, *[use(side, m) for m in MEASURES for side in ("lo", "hi")]), "fences")
 
 
 def judge(docs: DataFrame, keys: list, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
@@ -165,11 +183,12 @@ def _oracle() -> str:
         {name}_run AS (SELECT {keys}measure, bin, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bin) AS upto,
             sum(n) OVER (PARTITION BY {keys}measure) AS total
             FROM (SELECT {keys}measure, bin, count(*) AS n FROM long GROUP BY {keys}measure, bin)),
-        {name}_q AS (SELECT {keys}measure, total, {", ".join(f"min(bin) FILTER (upto * 100 >= total * {p}) AS b{p}" for p in (10, 50, 90))}
+        {name}_q AS (SELECT {keys}measure, total, {", ".join(f"min(bin) FILTER (upto * 100 >= total * {p}) AS b{p}" for p in QUANTILES)}
             FROM {name}_run GROUP BY {keys}measure, total),
-        {name}_v AS (SELECT *, {", ".join(f"{top(f'b{p}')} AS q{p}" for p in (10, 50, 90))} FROM {name}_q),
-        {name} AS (SELECT {keys}measure, total, q10 - {REACH} * (q50 - q10) - {slack} AS lo, q90 + {REACH} * (q90 - q50) + {slack} AS hi FROM {name}_v)"""
+        {name}_v AS (SELECT *, {", ".join(f"{top(f'b{p}')} AS q{p}" for p in QUANTILES)} FROM {name}_q),
+        {name} AS (SELECT {keys}measure, total, q25 - {REACH} * (q50 - q25) - {slack} AS lo, q75 + {REACH} * (q75 - q50) + {slack} AS hi FROM {name}_v)"""
 
+    upper = ", ".join(f"'{m}'" for m, x in MEASURES.items() if x[3] == "upper")
     tests = " OR ".join([f"(measure = '{m}' AND v_{m} > hi)" for m in MEASURES] + [f"(measure = '{m}' AND v_{m} < lo)" for m, x in MEASURES.items() if x[3] == "both"])
     return rf"""
     WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -187,8 +206,9 @@ def _oracle() -> str:
     long AS ({long}),
     {level("own", "lang, source")}, {level("wider", "lang")}, {level("whole", "")},
     f AS (SELECT o.lang, o.source, o.measure,
-            CASE WHEN o.total >= {MIN_GROUP} THEN o.lo WHEN l.total >= {MIN_GROUP} THEN l.lo ELSE a.lo END AS lo,
-            CASE WHEN o.total >= {MIN_GROUP} THEN o.hi WHEN l.total >= {MIN_GROUP} THEN l.hi ELSE a.hi END AS hi
+            coalesce(greatest(CASE WHEN o.total >= {MIN_GROUP} THEN o.lo END, CASE WHEN l.total >= {MIN_GROUP} THEN l.lo END), a.lo) AS lo,
+            coalesce(least(CASE WHEN o.total >= {MIN_GROUP} THEN o.hi END, CASE WHEN l.total >= {MIN_GROUP} THEN l.hi END,
+                CASE WHEN o.measure IN ({upper}) THEN a.hi END), a.hi) AS hi
         FROM own o JOIN wider l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole a ON o.measure = a.measure),
     out_ AS (SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source WHERE {tests})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -372,3 +372,14 @@ def test_mixing_fills_a_source_behind_a_long_document(spark):
     assert {r["source"]: r["n"] for r in out} == collections.Counter(s for s, *_ in sized)
     for r in out:
         assert r["target"] == pytest.approx(252_000) and abs(r["taken"] - r["target"]) <= 400
+
+
+def test_quality_fences_stand_where_a_third_of_a_source_is_junk(spark):
+    """Source x is 30 % junk glued with symbols, source y all junk; the fences of the language and of all rows hold both."""
+    glue = lambda t: t.replace(" ", " ###")
+    made = [(i, prose(i, 40 + i % 30), "en", "abcd"[i % 4]) for i in range(400)]
+    made += [(i, (glue if i % 10 < 3 else str)(prose(i, 50)), "en", "x") for i in range(1000, 1200)]
+    made += [(i, glue(prose(i, 50)), "en", "y") for i in range(2000, 2060)]
+    out = quality_rules.judge(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    kept = {r["doc_id"] for r in out.filter("kept").collect()}
+    assert kept == {i for i, t, *_ in made if "###" not in t}
