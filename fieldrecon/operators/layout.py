@@ -2,8 +2,10 @@
 
 Rows with the same coordinate get the same answer, so every operator reduces a
 page to its DISTINCT coordinates first (a partial aggregate), works on those
-with a window, and joins the answer back.  A page that holds a third of all
-rows still has only as many distinct coordinates as its height allows.
+and joins the answer back.  Coordinates are not rounded, so one page may hold a
+third of all of them: they are dealt to tasks in ranges of (page, coordinate),
+and what a range needs of its neighbours is carried over the border
+(`ordering.previous`, `following`, `carried_down`, `running_total`).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldrecon import vocab
 from fieldrecon.functions.text import ASSET_CODE, normalize_spaces
+from fieldrecon.operators import ordering
 
 C = F.col
 
@@ -35,27 +38,35 @@ def words_to_lines(words: DataFrame, keys: list[str], order: list[str]) -> DataF
     )
 
 
+def _clustered(images: DataFrame, page: list[str], gap: int) -> DataFrame:
+    """page, top, n, cluster: a new cluster starts where the step from the coordinate before is >= gap."""
+    tops = ordering.deal(images.groupBy(*page, "top").agg(F.count("*").alias("n")), [*page, "top"])
+    steps = ordering.previous(tops, page, ["top"], "top", "_before")
+    steps = steps.withColumn("break", F.when(C("top") - C("_before") >= gap, 1).otherwise(0))
+    return ordering.running_total(steps, page, ["top"], "break", "cluster").select(*page, "top", "n", "cluster")
+
+
+def _rows_of(clustered: DataFrame, page: list[str], least: int, block: int = 4096) -> DataFrame:
+    """page, cluster, row_no, row_top, row_size: clusters of at least `least` images, numbered in order."""
+    rows = clustered.groupBy(*page, "cluster").agg(F.sum("n").alias("row_size"), F.min("top").alias("row_top"))
+    rows = rows.filter(C("row_size") >= least).withColumn("_block", F.floor(C("cluster") / block))
+    return ordering.rank_in_groups(rows, page, ["_block"], ["cluster"], "row_no").drop("_block")
+
+
 def row_clusters(images: DataFrame, page: list[str], gap: int = vocab.ROW_GAP, least: int = 3) -> DataFrame:
     """page, top, row_no, row_top, row_size: which row each coordinate belongs to.
 
     A new row starts where the step from the previous coordinate is >= gap;
     rows of fewer than `least` images are dropped, the rest keep their order.
     """
-    tops = images.groupBy(*page, "top").agg(F.count("*").alias("n"))
-    by_top = Window.partitionBy(*page).orderBy("top")
-    step = C("top") - F.lag("top").over(by_top)
-    tops = tops.withColumn("break", F.when(step >= gap, 1).otherwise(0))
-    tops = tops.withColumn("cluster", F.sum("break").over(by_top))
-    whole = Window.partitionBy(*page, "cluster")
-    tops = tops.withColumn("row_size", F.sum("n").over(whole)).withColumn("row_top", F.min("top").over(whole))
-    tops = tops.filter(C("row_size") >= least)
-    return tops.withColumn("row_no", F.dense_rank().over(Window.partitionBy(*page).orderBy("cluster"))).select(
-        *page, "top", "row_no", "row_top", "row_size"
-    )
+    tops = _clustered(images, page, gap)
+    rows = _rows_of(tops, page, least)
+    return tops.join(rows, [*page, "cluster"]).select(*page, "top", "row_no", "row_top", "row_size")
 
 
-def page_rows(clusters: DataFrame, page: list[str]) -> DataFrame:
-    return clusters.select(*page, "row_no", "row_top", "row_size").distinct()
+def page_rows(images: DataFrame, page: list[str], gap: int = vocab.ROW_GAP, least: int = 3) -> DataFrame:
+    """page, row_no, row_top, row_size: the rows of `row_clusters`, once each."""
+    return _rows_of(_clustered(images, page, gap), page, least).select(*page, "row_no", "row_top", "row_size")
 
 
 def nearest_above(points: DataFrame, labels: DataFrame, page: list[str], order: list[str], strict: bool = True) -> DataFrame:
@@ -67,25 +78,23 @@ def nearest_above(points: DataFrame, labels: DataFrame, page: list[str], order:
     coordinate is not above.
     """
     marks = labels.groupBy(*page, "top").agg(F.min_by("label", F.struct(*order)).alias("label"))
-    marks = marks.select(*page, "top", F.lit(1 if strict else 0).alias("kind"), "label", C("top").alias("label_top"))
-    wanted = points.select(*page, "top").distinct().select(
-        *page, "top", F.lit(0 if strict else 1).alias("kind"),
-        F.lit(None).cast(labels.schema["label"].dataType).alias("label"),
-        F.lit(None).cast(labels.schema["top"].dataType).alias("label_top"),
+    marks = marks.filter("label is not null").select(
+        *page, "top", F.lit(1 if strict else 0).alias("kind"), F.struct("label", C("top").alias("label_top")).alias("mark")
     )
-    down = Window.partitionBy(*page).orderBy("top", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(wanted)
-    carried = both.withColumn("label", F.last("label", True).over(down)).withColumn(
-        "label_top", F.last("label_top", True).over(down)
+    wanted = points.select(*page, "top").distinct().select(
+        *page, "top", F.lit(0 if strict else 1).alias("kind"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark")
     )
-    return carried.filter(C("kind") == (0 if strict else 1)).filter("label is not null").drop("kind")
+    both = ordering.deal(marks.unionByName(wanted), [*page, "top", "kind"])
+    carried = ordering.carried_down(both, page, ["top", "kind"], "mark", "last")
+    found = carried.filter(C("kind") == (0 if strict else 1)).filter("last is not null")
+    return found.select(*page, "top", "last.label", "last.label_top")
 
 
 def row_bands(rows: DataFrame, page: list[str], height: int = vocab.PAGE_HEIGHT, margin: int = vocab.BAND_MARGIN) -> DataFrame:
     """Band of each distinct row coordinate: from itself to the next, clamped."""
-    tops = rows.select(*page, "top").distinct()
-    below = F.lead("top", 1, height).over(Window.partitionBy(*page).orderBy("top"))
-    return tops.withColumn("next_top", below).select(
+    tops = ordering.deal(rows.select(*page, "top").distinct(), [*page, "top"])
+    tops = ordering.following(tops, page, ["top"], "top", "next_top").fillna(height, "next_top")
+    return tops.select(
         *page, "top", F.greatest(F.lit(0), C("top") - margin).alias("band_start"),
         F.least(F.lit(height), C("next_top") - margin).alias("band_end"),
     )

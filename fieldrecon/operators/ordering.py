@@ -56,11 +56,32 @@ def deal(df: DataFrame, order: list[str]) -> DataFrame:
 
 def previous(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """`value` of the row before in the group, carried over the borders of ranges; NULL at the start of a group.  No `value` may be NULL."""
+    return _neighbour(dealt, keys, order, value, name, F.lag, F.max_by)
+
+
+def following(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """`value` of the row after in the group, carried like `previous`; NULL at the end of a group."""
+    return _neighbour(dealt, keys, order, value, name, F.lead, F.min_by)
+
+
+def _neighbour(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str, step, border) -> DataFrame:
+    """`border` picks the row of a range that the range beside it sees, `step` goes one row or one range that way."""
     inside = Window.partitionBy("_part", *keys).orderBy(*order)
-    ends = dealt.groupBy("_part", *keys).agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_part")
-    starts = ends.select("_part", *keys, F.lag("_end").over(before).alias("_carried"))
-    rows = dealt.withColumn("_own", F.lag(value).over(inside)).join(starts, ["_part", *keys])
+    ends = dealt.groupBy("_part", *keys).agg(border(value, F.struct(*order)).alias("_end"))
+    beside = Window.partitionBy(*keys).orderBy("_part")
+    starts = ends.select("_part", *keys, step("_end").over(beside).alias("_carried"))
+    rows = dealt.withColumn("_own", step(value).over(inside)).join(starts, ["_part", *keys])
+    return rows.withColumn(name, F.coalesce("_own", "_carried")).drop("_own", "_carried")
+
+
+def carried_down(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The last `value` that is not NULL up to and including the row, carried over the borders of ranges."""
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = dealt.groupBy("_part", *keys).agg(F.max_by(value, at).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("_part", *keys, F.last("_end", True).over(before).alias("_carried"))
+    rows = dealt.withColumn("_own", F.last(value, True).over(inside)).join(starts, ["_part", *keys])
     return rows.withColumn(name, F.coalesce("_own", "_carried")).drop("_own", "_carried")
 
 

@@ -292,7 +292,7 @@ offs AS (SELECT report_id, page, n_rows, coalesce(sum(n_rows) OVER (PARTITION BY
     FROM asof_ a JOIN offs f USING (report_id, page) LEFT JOIN ords o ON o.report_id = a.report_id AND o.ordinal = f.row_offset + a.row_no""",
 )
 def j11(spark, sf):
-    rows = layout.page_rows(layout.row_clusters(view(spark, sf, "b_image"), PAGE), PAGE)
+    rows = layout.page_rows(view(spark, sf, "b_image"), PAGE)
     above = layout.nearest_above(rows.select(*PAGE, C("row_top").alias("top")), view(spark, sf, "b_label"), PAGE, _POS)
     above = above.select(*PAGE, C("top").alias("row_top"), "label")
     skip = ordering.offsets(rows, ["report_id"], ["page"], F.count("*"), "row_offset")

@@ -31,7 +31,7 @@ def a15(spark, sf):
 
 @query("w1_tolerance_cluster", oracle("b_image") + "," + SQL_ROWS + " SELECT report_id, page, row_no, row_top, row_size FROM rows_")
 def w1(spark, sf):
-    return layout.page_rows(layout.row_clusters(view(spark, sf, "b_image"), PAGE), PAGE)
+    return layout.page_rows(view(spark, sf, "b_image"), PAGE)
 
 
 def ship_days(spark, sf):
@@ -75,7 +75,7 @@ def w4(spark, sf):
     oracle("b_image") + "," + SQL_ROWS + " SELECT report_id, page, n_rows, row_offset FROM offs",
 )
 def w9(spark, sf):
-    rows = layout.page_rows(layout.row_clusters(view(spark, sf, "b_image"), PAGE), PAGE)
+    rows = layout.page_rows(view(spark, sf, "b_image"), PAGE)
     counts = rows.groupBy(*PAGE).agg(F.count("*").alias("n_rows"))
     return counts.join(ordering.offsets(rows, ["report_id"], ["page"], F.count("*"), "row_offset"), PAGE)
 
@@ -103,7 +103,7 @@ def w10(spark, sf):
 )
 def s7(spark, sf):
     """Outcome of every image row of a page, as the export audit records it: two runs append, the log is read back."""
-    rows = layout.page_rows(layout.row_clusters(view(spark, sf, "b_image"), PAGE, least=1), PAGE)
+    rows = layout.page_rows(view(spark, sf, "b_image"), PAGE, least=1)
     status = F.when(C("row_size") < 3, F.format_string("skipped: %d placements", "row_size")).otherwise("ok")
     rows = rows.select(*PAGE, "row_top", "row_size", status.alias("status"))
     path = new_folder(spark, "audit")

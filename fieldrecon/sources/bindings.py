@@ -186,24 +186,37 @@ SELECT l_orderkey AS report_id, CASE WHEN l_linenumber <= 5 THEN 2 ELSE 3 END AS
 FROM {{lineitem}}
 """
 
-BINDINGS["b_image"] = """
-SELECT l_orderkey AS report_id, CASE WHEN l_linenumber <= 5 THEN 2 ELSE 3 END AS page,
-       cast(floor(l_extendedprice) as bigint) % 60 AS top,
-       cast(floor(l_extendedprice) as bigint) % 60 + 10 + l_linenumber AS bottom,
-       l_quantity AS x0, l_linenumber AS line_no, l_partkey AS part_id, l_suppkey AS supp_id,
-       'Im' || cast(l_partkey as string) || '_' || cast(l_linenumber as string) AS image_name
-FROM {lineitem}
+# Coordinates are not rounded.  A third of the reports are pages of one bound volume, report 1, whose
+# page 2 so holds a third of all rows: 21 strips of height 20, one every 40; other pages are 60 high.
+_VOLUME = "l_orderkey % 3 = 1"
+_PLACE = f"""CASE WHEN {_VOLUME} THEN 1 ELSE l_orderkey END AS report_id,
+       CASE WHEN {_VOLUME} OR l_linenumber <= 5 THEN 2 ELSE 3 END AS page"""
+
+
+def _top(at: str) -> str:
+    """Coordinate of a placement from a number that varies freely."""
+    inside = lambda n: f"({at} - {n} * floor({at} / {n}))"
+    return f"CASE WHEN {_VOLUME} THEN 40 * (l_suppkey % 21) + {inside(20)} ELSE {inside(60)} END"
+
+
+BINDINGS["b_image"] = f"""
+SELECT report_id, page, top, top + 10 + line_no AS bottom, x0, line_no, part_id, supp_id,
+       'Im' || cast(part_id as string) || '_' || cast(line_no as string) AS image_name
+FROM (
+  SELECT {_PLACE}, {_top("(l_extendedprice + l_partkey / 997)")} AS top,
+         l_quantity AS x0, l_linenumber AS line_no, l_partkey AS part_id, l_suppkey AS supp_id
+  FROM {{lineitem}}
+) AS i
 """
 
 # Label rows of the same pages: where a row's caption stands.
-BINDINGS["b_label"] = """
+BINDINGS["b_label"] = f"""
 SELECT report_id, page, top + 3 AS top, line_no, part_id, supp_id, line AS label
 FROM (
-  SELECT l_orderkey AS report_id, CASE WHEN l_linenumber <= 5 THEN 2 ELSE 3 END AS page,
-         cast(floor(l_extendedprice * 7) as bigint) % 60 AS top,
+  SELECT {_PLACE}, {_top("(l_extendedprice * 7 + l_partkey / 997)")} AS top,
          l_linenumber AS line_no, l_partkey AS part_id, l_suppkey AS supp_id,
          'SIN' || cast(10000 + l_partkey as string) || ' : SINYAL MASUK J' || cast(l_partkey % 997 as string) || ' BOO' AS line
-  FROM {lineitem}
+  FROM {{lineitem}}
   WHERE l_linenumber % 2 = 0
 ) AS l
 """

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldrecon.operators import consensus, ordering
+from fieldrecon.operators import consensus, layout, ordering
 
 
 @pytest.fixture(autouse=True)
@@ -54,3 +54,41 @@ def test_leader_lines_on_one_hot_group_with_unrounded_positions(spark):
     got = {r["g"]: (r["line_top"], r["n_lines"], r["n_words"]) for r in consensus.leader_lines(frame, ["g"], "pos").collect()}
     assert got == {g: lines([r[1:] for r in rows if r[0] == g]) for g in (1, 2, 3, 4)}
     assert consensus.leader_lines(frame.filter(F.lit(False)), ["g"], "pos").count() == 0
+
+
+def test_following_and_carried_down_cross_borders(spark):
+    rng = random.Random(2)
+    rows = [("ab"[rng.random() < 0.1], v / 7, "m" + str(v) if rng.random() < 0.01 else None) for v in rng.sample(range(10_000), 3000)]
+    dealt = ordering.deal(spark.createDataFrame(rows, "g string, x double, m string").repartition(6), ["g", "x"])
+    out = ordering.carried_down(ordering.following(dealt, ["g"], ["x"], "x", "after"), ["g"], ["x"], "m", "mark")
+    got = {(r["g"], r["x"]): (r["after"], r["mark"]) for r in out.collect()}
+    for g in "ab":
+        own = sorted((x, m) for h, x, m in rows if h == g)
+        mark = None
+        for (x, m), after in zip(own, [x for x, _ in own[1:]] + [None]):
+            mark = m or mark
+            assert got[g, x] == (after, mark)
+
+
+def test_one_page_is_dealt_to_many_tasks(spark):
+    """Rows, labels above and bands of one page against loops, coordinates not rounded, ranges smaller than the page."""
+    rng = random.Random(3)
+    tops = sorted({rng.randint(0, 40) * 40 + rng.random() * 20 for _ in range(2000)})
+    marks = sorted(rng.random() * 1700 for _ in range(300))
+    images = spark.createDataFrame([(1, t) for t in tops] + [(2, 5.0)], "page int, top double").repartition(4)
+    labels = spark.createDataFrame([(1, t, f"c{t}") for t in marks], "page int, top double, label string").repartition(4)
+
+    rows, before = [], None
+    for t in tops:
+        if before is None or t - before >= 15:
+            rows.append([t, 0])
+        rows[-1][1] += 1
+        before = t
+    got = layout.page_rows(images, ["page"]).orderBy("row_no").collect()
+    assert [(r["row_no"], r["row_top"], r["row_size"]) for r in got] == [(i, t, n) for i, (t, n) in enumerate((r for r in rows if r[1] >= 3), 1)]
+
+    above = {r["top"]: r["label"] for r in layout.nearest_above(images, labels, ["page"], ["label"]).collect()}
+    assert above == {t: f"c{max(m for m in marks if m < t)}" for t in tops if t > marks[0]}
+
+    bands = {r["top"]: r["band_end"] for r in layout.row_bands(labels, ["page"], height=2000).collect()}
+    assert bands == {t: after - 2 for t, after in zip(marks, marks[1:] + [2000])}
