@@ -366,18 +366,19 @@ def u1(spark, sf):
 # --- back-filling, fan-out, reconciliation --------------------------------------------------
 @query(
     "j14_backfill_by_code",
-    oracle("b_asset_line", "b_sap_station") + f""",
-    s AS (SELECT report_id, line_no, part_id, supp_id, code AS kind, {SQL_DESC_STATION} AS station FROM b_asset_line LEFT JOIN b_sap_station USING (code)),
-    known AS (SELECT report_id, kind, arg_min(station, (line_no, part_id, supp_id)) AS known FROM s WHERE station <> 'UNKNOWN' GROUP BY 1, 2)
+    oracle("b_code_row", "b_sap_station") + f""",
+    s AS (SELECT report_id, page, line_no, part_id, supp_id, code AS kind, {SQL_DESC_STATION} AS station FROM b_code_row LEFT JOIN b_sap_station USING (code)),
+    known AS (SELECT report_id, kind, arg_min(station, (line_no, part_id, supp_id)) AS known FROM s WHERE page = 1 AND station <> 'UNKNOWN' GROUP BY 1, 2)
     SELECT report_id, line_no, part_id, supp_id, CASE WHEN station = 'UNKNOWN' THEN coalesce(known, station) ELSE station END AS station,
            station = 'UNKNOWN' AND known IS NOT NULL AS filled
     FROM s LEFT JOIN known USING (report_id, kind)""",
 )
 def j14(spark, sf):
-    lines = view(spark, sf, "b_asset_line").join(view(spark, sf, "b_sap_station"), "code", "left")
-    rows = lines.select("report_id", *_POS, C("code").alias("kind"),
+    """Rows without a station take that of the first row of page 1 of their report which has the same code and a station."""
+    lines = view(spark, sf, "b_code_row").join(view(spark, sf, "b_sap_station"), "code", "left")
+    rows = lines.select("report_id", "page", *_POS, C("code").alias("kind"),
                         text.station_from_description(C("title"), C("station")).alias("station"))
-    known = ordering.first_per_key(rows.filter("station <> 'UNKNOWN'"), ["report_id", "kind"], "station", _POS)
+    known = ordering.first_per_key(rows.filter("page = 1 and station <> 'UNKNOWN'"), ["report_id", "kind"], "station", _POS)
     rows = rows.join(known.withColumnRenamed("station", "known"), ["report_id", "kind"], "left")
     unknown = C("station") == "UNKNOWN"
     return rows.select(

@@ -34,7 +34,7 @@ def s2(spark, sf):
     return files.bounded_listing(view(spark, sf, "b_report").select("path"), "path")
 
 
-_DOC = """'{"_metadata": {"sumber": "x"}, "WESEL": {"W' || cast(p_partkey AS string) || ' BOO": {"asset_id": ' || cast(p_size AS string)
+_DOC = """'{"_metadata": {"sumber": "x", "doc_id": ' || cast(p_partkey AS string) || '}, "WESEL": {"W' || cast(p_partkey AS string) || ' BOO": {"asset_id": ' || cast(p_size AS string)
   || ', "catatan": "' || p_brand || '"}, "_note": {}}, "AXC": {"ZP ' || cast(p_partkey AS string) || ' BTT": {"asset_id": 8}}}'"""
 
 
@@ -44,8 +44,11 @@ _DOC = """'{"_metadata": {"sumber": "x"}, "WESEL": {"W' || cast(p_partkey AS str
        UNION ALL SELECT p_partkey, 'AXC', 'ZP ' || p_partkey || ' BTT', 8, NULL FROM part""",
 )
 def s3(spark, sf):
-    docs = table(spark, sf, "part").select(C("p_partkey").alias("doc_id"), F.expr(_DOC).alias("doc"))
-    return documents.flatten_nested(docs, "doc").select("doc_id", "asset_type", "detail", "asset_id", "note")
+    """Every part's document is written to text files, one in a line, and the files are loaded."""
+    path = new_folder(spark, "dims")
+    table(spark, sf, "part").select(F.expr(_DOC).alias("value")).write.text(path)
+    rows = documents.load_nested(spark, path, per_line=True, about={"doc_id": "long"})
+    return rows.select("doc_id", "asset_type", "detail", "asset_id", "note")
 
 
 _SQL_KEYS = """keys AS (SELECT *, string_split(CASE WHEN starts_with(path, 'BTP') THEN path ELSE 'BTP JAK/' || path END, '/') AS p FROM b_path),
@@ -68,10 +71,13 @@ def s5(spark, sf):
     SELECT source_id, region, category, identifier, photo, note FROM pk LEFT JOIN side USING (region, category, identifier)""",
 )
 def s6(spark, sf):
+    """The date text of every set is written into the set's folder, read from there and joined to the photos."""
     keyed = view(spark, sf, "b_path").select("source_id", "date_text", files.path_keys(C("path")).alias("k"))
     photos = keyed.select("source_id", "date_text", "k.region", "k.category", "k.identifier", "k.photo").filter("region is not null")
     sidecars = ordering.last_writer_wins(photos.filter("date_text is not null"), _SET, "date_text", ["source_id"])
-    sidecars = sidecars.withColumnRenamed("date_text", "note")
+    path = new_folder(spark, "sidecars")
+    files.write_sidecars(sidecars, _SET, path)
+    sidecars = files.sidecar_texts(spark, path, _SET).withColumnRenamed("date_text", "note")
     return files.sidecar_join(photos.drop("date_text"), sidecars).select("source_id", *_SET, "photo", "note")
 
 

@@ -165,6 +165,16 @@ FROM (
 ) AS a
 """
 
+# Rows of exported reports: a report repeats few codes, and only some rows of its first page name the station.
+BINDINGS["b_code_row"] = f"""
+SELECT l_orderkey AS report_id, CASE WHEN l_linenumber <= 3 THEN 1 ELSE 2 END AS page,
+       l_linenumber AS line_no, l_partkey AS part_id, l_suppkey AS supp_id,
+       'WSL' || cast(10000 + l_orderkey % 1000 * 3 + l_partkey % 3 as string) AS code,
+       CASE WHEN (l_linenumber + l_suppkey) % 3 = 0 THEN 'PENGGERAK WESEL ELEKTRIK W' || {_N} || ' ' || {_STS}
+            ELSE 'WESEL W' || {_N} END AS title
+FROM {{lineitem}}
+"""
+
 # Station register of asset codes; a quarter of the parts is registered.
 BINDINGS["b_sap_station"] = f"""
 SELECT {_case("p_partkey", _words("WSL", "AXL", "SIN", "JPL", "OTB", "CDA", "TRA", "TLK", "TWR", "INB", "CTC", "GEN", "BNR"))}

@@ -27,14 +27,20 @@ def flatten_nested(docs: DataFrame, column: str) -> DataFrame:
     )
 
 
-def load_nested(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a nested JSON file; no rows where the file does not exist."""
+def load_nested(spark: SparkSession, path: str, per_line: bool = False, about: dict[str, str] | None = None) -> DataFrame:
+    """Rows of nested JSON files; no rows where the path does not exist.
+
+    A file is one document, or holds one in each line.  `about` names entries of
+    the documents' `_metadata` that become columns, with their types.
+    """
     from fieldrecon.sources.files import exists
 
     if not exists(spark, path):
         docs = spark.createDataFrame([], "value string")
     else:
-        docs = spark.read.text(path, wholetext=True)
+        docs = spark.read.text(path, wholetext=not per_line)
+    for name, kind in (about or {}).items():
+        docs = docs.withColumn(name, F.get_json_object("value", f"$._metadata.{name}").cast(kind))
     return flatten_nested(docs, "value")
 
 

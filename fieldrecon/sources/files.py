@@ -74,13 +74,19 @@ def path_keys(path: Column) -> Column:
     )
 
 
-def sidecar_texts(spark: SparkSession, folder: str, name: str = "date.txt") -> DataFrame:
-    """path and text of every sidecar file below a folder."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-        .text(folder, wholetext=True)
-    )
-    return files.select(C("_metadata.file_path").alias("path"), strip(C("value")).alias("date_text"))
+def sidecar_texts(spark: SparkSession, folder: str, keys: list[str], name: str = "*.txt") -> DataFrame:
+    """keys and text of every sidecar file in a tree of key=value folders; a missing tree gives no rows."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in [*keys, "date_text"]))
+    schema = ", ".join(f"{k} string" for k in ["value", *keys])
+    found = spark.read.schema(schema).option("pathGlobFilter", name).text(folder, wholetext=True)
+    return found.select(*keys, strip(C("value")).alias("date_text"))
+
+
+def write_sidecars(sidecars: DataFrame, keys: list[str], folder: str) -> None:
+    """One text file in each folder of the tree; `sidecars` has one row for each key."""
+    rows = sidecars.select(*keys, C("date_text").alias("value")).repartition(*keys)
+    rows.write.partitionBy(*keys).text(folder)
 
 
 def sidecar_join(photos: DataFrame, sidecars: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Text logs: line numbers across files and splits."""
 
-from fieldrecon.sources import files
+from fieldrecon.sources import documents, files
 
 
 def test_line_numbers_run_through_splits_and_files(spark, tmp_path):
@@ -20,3 +20,22 @@ def test_line_numbers_run_through_splits_and_files(spark, tmp_path):
         for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
             spark.conf.unset(name)
     assert files.read_log(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sidecars_of_odd_folders_and_of_none(spark, tmp_path):
+    rows = [("BTP JAK", "A/B", "W 1%2 =x", "Senin, Jan 16 1999"), ("BTP BD", "007", "1e3", "Rabu")]
+    made = spark.createDataFrame(rows, "region string, category string, identifier string, date_text string")
+    keys = ["region", "category", "identifier"]
+    files.write_sidecars(made, keys, str(tmp_path / "tree"))
+    assert sorted(map(tuple, files.sidecar_texts(spark, str(tmp_path / "tree"), keys).collect())) == sorted(rows)
+    assert files.sidecar_texts(spark, str(tmp_path / "none"), keys).count() == 0
+
+
+def test_nested_documents_by_file_and_by_line(spark, tmp_path):
+    doc = '{"_metadata": {"n": %d}, "WESEL": {"W%d": {"asset_id": %d}, "_note": {}}}'
+    (tmp_path / "one.json").write_text(doc.replace(", ", ",\n") % (1, 1, 1))
+    (tmp_path / "many.jsonl").write_text("".join(doc % (k, k, k) + "\n" for k in range(50)))
+    load = lambda name, **how: documents.load_nested(spark, str(tmp_path / name), about={"n": "long"}, **how).select("n", "detail", "asset_id")
+    assert [tuple(r) for r in load("one.json").collect()] == [(1, "W1", 1)]
+    assert sorted(map(tuple, load("many.jsonl", per_line=True).collect())) == [(k, f"W{k}", k) for k in range(50)]
+    assert load("none.json").count() == 0
