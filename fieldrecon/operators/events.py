@@ -77,23 +77,23 @@ def all_steps(status: DataFrame) -> DataFrame:
 def match_log(lines: DataFrame) -> DataFrame:
     """MISS and SKIP lines of a matching log as a table; other lines, and lines cut short, drop out.
 
-    A line is `[KIND] name` and labelled fields; it is cut at the labels, one after another.
+    A line is `[KIND] name` and labelled fields; each field ends where the next label first occurs.
     """
-    rows = lines.select("line_id", strip(C("line")).alias("t"))
-    rows = rows.select("line_id", F.substring("t", 1, 7).alias("mark"), F.substr("t", F.lit(8)).alias("rest"))
-    miss, skip = C("mark") == "[MISS] ", C("mark") == "[SKIP] "
-    names = ["filename", *vocab.MATCH_LOG_FIELDS.values()]
-    for label, name in zip([*vocab.MATCH_LOG_FIELDS, None], names, strict=True):
-        cut = F.lit(0) if label is None else F.instr("rest", label)
-        rows = rows.withColumn("at", F.when(miss, cut).otherwise(F.when(F.lit(name == "filename"), F.instr("rest", vocab.SKIP_LOG_LABEL)).otherwise(0)))
-        length = F.length(F.when(miss, F.lit(label or "")).otherwise(vocab.SKIP_LOG_LABEL))
-        rows = rows.withColumn(name, F.when(C("at") > 0, F.substr("rest", F.lit(1), C("at") - 1)).otherwise(C("rest") if label is None else F.lit(None)))
-        rows = rows.withColumn("rest", F.when(C("at") > 0, F.substr("rest", C("at") + length)).otherwise(C("rest")))
-    skipped = [F.when(miss, C(n)).alias(n) for n in names[1:-1]]
-    last = names[-1]
-    whole = ~F.coalesce(C("category"), F.lit("")).contains(" ")  # a category is one word in such a log
-    for name in names:
-        whole = whole & (F.coalesce(C(name), F.lit("")) != "")
-    rows = rows.filter((miss & whole) | (skip & (F.coalesce("filename", F.lit("")) != "") & (C("rest") != "")))
-    note = F.when(miss, C(last)).otherwise(C("rest")).alias(last)
-    return rows.select("line_id", F.when(miss, "MISS").otherwise("SKIP").alias("kind"), "filename", *skipped, note)
+    def cut(kind: str, labels: list[str], names: list[str]) -> list:
+        form = rf"(?s)^\[{kind}\] " + "".join(rf"(.*?)\Q{label}\E" for label in labels) + "(.*)$"
+        return [F.regexp_extract("t", form, k).alias(name) for k, name in enumerate(names, 1)]
+
+    first, *fields = "filename", *vocab.MATCH_LOG_FIELDS.values()
+    miss, skip = cut("MISS", list(vocab.MATCH_LOG_FIELDS), [first, *fields]), cut("SKIP", [vocab.SKIP_LOG_LABEL], [first, fields[-1]])
+    # a generated column: the optimizer would copy the rule for white space into every use of `t`
+    rows = lines.select("line_id", F.explode(F.array(strip(C("line")))).alias("t")).select(
+        "line_id", F.when(C("t").startswith("[MISS] "), F.struct(*miss)).alias("miss"), F.when(C("t").startswith("[SKIP] "), F.struct(*skip)).alias("skip")
+    )
+    whole = ~C("miss.category").contains(" ")  # a category is one word in such a log
+    for name in (first, *fields):
+        whole = whole & (C(f"miss.{name}") != "")
+    rows = rows.filter(whole | ((C(f"skip.{first}") != "") & (C(f"skip.{fields[-1]}") != "")))
+    return rows.select(
+        "line_id", F.when(C("miss").isNotNull(), "MISS").otherwise("SKIP").alias("kind"), F.coalesce(f"miss.{first}", f"skip.{first}").alias(first),
+        *[C(f"miss.{n}").alias(n) for n in fields[:-1]], F.coalesce(f"miss.{fields[-1]}", f"skip.{fields[-1]}").alias(fields[-1]),
+    )
