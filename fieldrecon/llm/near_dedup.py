@@ -15,12 +15,15 @@ No group is paired with itself:
    node in most buckets of a class), and a node is compared with the first LEADERS
    of its buckets' leaders; ROUNDS rounds of this link nearly all of a large class;
 3. only in buckets that still hold nodes of different classes, every pair of nodes of
-   different classes within the distance is compared, which makes the result exact.
-   A bucket is taken in blocks, and each pair is given out in one bucket only.
+   different classes within the distance is confirmed, which makes the result exact.
+   The nodes of such buckets are dealt into blocks of a set volume, those that share a
+   leader together.  The pairs of one bucket travel as one list for each two blocks, a
+   text is sent once for each block that its own meets, and the sets are intersected
+   block against block inside a task, which puts out links only.
 Bucket leaders come from a partial aggregate, joins split hot keys, and the nodes
 compared with one leader are dealt out by the volume of their sets.  Each task
-streams: it holds one leader's set at a time.  Classes are the connected components
-of the confirmed links, found by alternating star contraction.
+streams: it holds one leader's set, or those of one block, at a time.  Classes are the
+connected components of the confirmed links, found by alternating star contraction.
 
 Cases: a text without words (null, empty, blank) has the empty set and is linked with
 nothing; below five words the sequence is one shingle; null ids and repeated rows
@@ -51,12 +54,17 @@ SIMILAR = 75
 #: bytes of text hashed at a time
 BATCH = 1 << 20
 #: shingles compared with one copy of a leader's set
-SHARE = 2_000_000
+SHARE = 100_000
 #: rounds in which nodes meet leaders of their buckets, and how many of them in each
 ROUNDS = 2
 LEADERS = 3
-#: nodes of a bucket that are compared at a time
+#: nodes of a bucket whose signatures are compared at a time
 BLOCK = 4096
+#: candidate pairs listed at a time
+PAIRS = 200_000
+#: nodes and shingles in a block whose sets are intersected with those of another
+MEMBERS = 512
+VOLUME = 1_000_000
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -116,46 +124,67 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j), a pair of blocks of one bucket: pairs of nodes of different classes that may be similar.
+    """Rows sorted by (key, i, j), a pair of parts of one bucket: pairs of nodes of different classes that may be similar.
 
     A pair is given out in one bucket only: that of the first key, in the index's order, that both nodes have.
+    The pairs of two blocks make one row: the blocks, the nodes on either side, and places in these two lists.
     """
     group, held = None, []
     for b in batches:
         key, i, j = b["key"].to_numpy(), b["i"].to_numpy(), b["j"].to_numpy()
         edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        out = []
         for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
             if lo == hi:
                 continue
             name = (key[lo], i[lo], j[lo])
             if name != group:
-                out += _close(group, held)
+                yield from map(_lists, _candidates(group, held))
                 group, held = name, []
             held.append(b.slice(lo, hi - lo))
-        yield _pairs(out)
-    yield _pairs(_close(group, held))
+    yield from map(_lists, _candidates(group, held))
+
 
+LISTS = "left_block long, right_block long, left array<long>, right array<long>, x binary, y binary"
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    none = [np.empty(0, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found] or none)) for k in (0, 1)], ["a", "b"])
 
+def _lists(pairs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Pairs (nodes, their blocks, other nodes, their blocks) as rows of LISTS."""
+    a, block_a, b, block_b = pairs
+    swap = (block_a > block_b) | ((block_a == block_b) & (a > b))
+    a, b, block_a, block_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, block_b, block_a), np.where(swap, block_a, block_b)
+    order = np.lexsort((block_b, block_a))
+    a, b, block_a, block_b = a[order], b[order], block_a[order], block_b[order]
+    edge = np.flatnonzero((block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1])) + 1
+    rows = []
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(a)], strict=True):
+        left, x = np.unique(a[lo:hi], return_inverse=True)
+        right, y = np.unique(b[lo:hi], return_inverse=True)
+        rows.append((block_a[lo], block_b[lo], left, right, x.astype("<i4").tobytes(), y.astype("<i4").tobytes()))
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in LISTS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-def _close(group, held: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray]]:
+
+def _candidates(group, held: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The candidate pairs of one bucket, about PAIRS at a time."""
     if group is None or sum(b.num_rows for b in held) < 2:
-        return []
+        return
     column = lambda c: np.concatenate([b[c].to_numpy() for b in held])
-    node, root, n, block = column("node"), column("root"), column("n"), column("block")
+    node, root, n, part, block = column("node"), column("root"), column("n"), column("part"), column("block")
     sig = np.frombuffer(b"".join(x for b in held for x in b["signature"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
     width = POSITIONS // CHUNKS
     ways = len(list(combinations(range(width), DISTANCE // CHUNKS)))
     chunk, way = divmod(int(group[0] >> 16 * (width - DISTANCE // CHUNKS)), ways)
     _, i, j = group
-    found = []
-    for x in np.flatnonzero(block == i).tolist():
+    one, two, gathered = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+
+    def found() -> tuple[np.ndarray, ...]:
+        x, y = np.concatenate(one), np.concatenate(two)
+        return node[x], block[x], node[y], block[y]
+
+    for x in np.flatnonzero(part == i).tolist():
         other = root != root[x]
-        other &= (node > node[x]) if i == j else (block == j)
+        other &= (node > node[x]) if i == j else (part == j)
         other &= 100 * np.minimum(n, n[x]) >= SIMILAR * np.maximum(n, n[x])
         y = np.flatnonzero(other)
         if not y.size:
@@ -164,8 +193,14 @@ def _close(group, held: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarr
         shares = same >= width - DISTANCE // CHUNKS
         first = (shares.argmax(axis=1) == chunk) & ((same[:, chunk] < width) | (way == 0))
         y = y[first & (same.sum(axis=1) >= POSITIONS - DISTANCE)]
-        found.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
-    return found
+        one.append(np.full(len(y), x))
+        two.append(y)
+        gathered += len(y)
+        if gathered >= PAIRS:
+            yield found()
+            one, two, gathered = one[:1], two[:1], 0
+    if gathered:
+        yield found()
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +245,92 @@ def confirm(pairs: DataFrame, texts: DataFrame, temporary: list[str]) -> DataFra
     return save(rows.select("a", "b", "is_leader", "text").mapInArrow(_confirm, "a long, b long"), "links", temporary)
 
 
+def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (left_block, right_block, kind): lists of pairs, the left block's texts, the right block's texts.
+
+    A pair is passed over once links have joined its nodes: the classes stay the same.
+    """
+    at, meet = None, None
+    for b in batches:
+        left, right, kind, node = (b[c].to_pylist() for c in ("left_block", "right_block", "kind", "node"))
+        links: list[tuple[int, int]] = []
+        for i, s in _sets_of(b["text"]):
+            if (left[i], right[i]) != at:
+                at, meet = (left[i], right[i]), _Meeting()
+            if kind[i] == 0:
+                meet.expect(*(b[c][i].values.to_numpy() for c in ("left", "right")), *(np.frombuffer(b[c][i].as_py(), "<i4") for c in ("x", "y")))
+            elif kind[i] == 1:
+                meet.hold(node[i], s)
+            else:
+                links += meet.compare(node[i], s)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+class _Meeting:
+    """One block's sets, held as an index from shingle to nodes, met by the sets of another block or its own."""
+
+    def __init__(self) -> None:
+        self.partners: dict[int, list[np.ndarray]] = {}
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.index = None
+        self.up: dict[int, int] = {}
+
+    def expect(self, left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        order = np.argsort(y, kind="stable")
+        for node, part in zip(right.tolist(), np.split(left[x[order]], np.searchsorted(y[order], np.arange(1, len(right)))), strict=True):
+            self.partners.setdefault(node, []).append(part)
+
+    def hold(self, node: int, s: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.sets.append(s)
+
+    def _root(self, node: int) -> int:
+        while (up := self.up.get(node, node)) != node:
+            self.up[node] = self.up.get(up, up)
+            node = up
+        return node
+
+    def compare(self, node: int, s: np.ndarray) -> list[tuple[int, int]]:
+        if self.index is None:
+            values, who = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets), dtype=np.int32), [len(x) for x in self.sets])
+            order = np.argsort(values, kind="stable")
+            self.index, self.who, self.size = values[order], who[order], np.array([len(x) for x in self.sets])
+            self.place = {n: k for k, n in enumerate(self.nodes)}
+            self.sets = []
+        with_ = [self.place[p] for p in np.unique(np.concatenate(self.partners.get(node, [np.empty(0, np.int64)]))).tolist()]
+        if not with_:
+            return []
+        lo, hi = np.searchsorted(self.index, s), np.searchsorted(self.index, s, side="right")
+        count = hi - lo
+        hits = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        both = np.bincount(self.who[hits], minlength=len(self.size))
+        alike = 100 * both >= SIMILAR * (self.size + len(s) - both)
+        out = []
+        for k in with_:
+            if alike[k] and (r := self._root(self.nodes[k])) != (q := self._root(node)):
+                self.up[r] = q
+                out.append((self.nodes[k], node))
+        return out
+
+
+def confirm_blocks(lists: DataFrame, texts_of, temporary: list[str]) -> DataFrame:
+    """Links among listed pairs, enough of them to join every class.  `lists`: saved rows of LISTS; `texts_of`: texts of nodes."""
+    at = ["left_block", "right_block"]
+    own = F.col("left_block") == F.col("right_block")
+    left = lists.select(*at, F.explode("left").alias("node"), F.lit(1).alias("kind"))
+    right = lists.select(*at, F.explode("right").alias("node"), F.lit(2).alias("kind"))
+    held = left.unionByName(right.filter(own).withColumn("kind", F.lit(1))).unionByName(right).distinct()
+    texts = texts_of(lists.select(F.explode(F.concat("left", "right")).alias("node")))
+    none = F.lit(None)
+    sent = held.join(texts.select("node", "text"), "node").select(
+        *at, "kind", "node", none.cast("array<long>").alias("left"), none.cast("array<long>").alias("right"), none.cast("binary").alias("x"), none.cast("binary").alias("y"), "text"
+    )
+    rows = lists.select(*at, F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("node"), "left", "right", "x", "y", none.cast("string").alias("text")).unionByName(sent)
+    rows = rows.repartition(*at).sortWithinPartitions(*at, "kind", "node")
+    return save(rows.mapInArrow(_intersect, "a long, b long"), "links", temporary)
+
+
 def components(links: DataFrame, temporary: list[str]) -> DataFrame:
     """(node, root) of every node with a link, root being the smallest node of its component.
 
@@ -246,8 +367,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     full = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     shared = save(keys.join(full, "key"), "shared", temporary)  # only buckets with two nodes or more matter from here on
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "id", "text_key", "n"), "node")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        need = nodes.distinct().join(sets.select("node", "id", "text_key", "n"), "node")
         rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
         found = join_on(rows, small(save(need, "need", temporary)), ["id", "text_key"])
         # rows that repeat id and text are found more than once
@@ -257,7 +378,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         return rows.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     stars = sets.select("node", F.col("node").alias("root")).limit(0)
-    tried = None
     for turn in range(ROUNDS):
         # the first node of every bucket in this round's order, met by nodes of other classes: LEADERS of them for a node
         rows = rooted(shared).withColumn("order", F.xxhash64("node", F.lit(turn)))
@@ -267,23 +387,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         pairs = met.select("a", "b")
         signed_pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
         pairs = save(signed_pairs.select("a", "b", "x", "y").mapInArrow(_near, "a long, b long"), "pairs", temporary)
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tried = done if tried is None else tried.unionByName(done)
-        stars = components(confirm(pairs, texts_of(pairs), temporary).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
+        stars = components(confirm(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), temporary).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
 
     # buckets in which classes still meet: every pair of nodes of different classes within the distance, block against block
-    shared = rooted(shared)
-    mixed = shared.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
-    rows = shared.join(mixed.select("key"), "key", "left_semi").join(sets.select("node", "n", "signature"), "node")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    shared = rooted(shared).withColumn("order", F.xxhash64("node"))
+    mixed = shared.groupBy("key").agg(F.min(F.struct("order", "node")).getField("node").alias("lead"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
+    rows = save(shared.join(mixed.select("key", "lead"), "key").join(sets.select("node", "n"), "node").select("key", "node", "root", "held", "lead", "n", "order"), "mixed", temporary)
+    # a block: nodes with one leader, as many as MEMBERS and VOLUME allow
+    led = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("lead"), "lead")).getField("lead").alias("lead"), F.first("n").alias("n"))
+    load = led.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / VOLUME)).alias("blocks"))
+    dealt = led.join(load, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node", F.lit("deal")), F.col("blocks"))).alias("block"))
+    parts = F.ceil(F.col("held") / BLOCK).cast("int")
+    rows = rows.drop("lead", "order").join(save(dealt, "dealt", temporary), "node").join(sets.select("node", "signature"), "node")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = save(rows.select("key", "i", "j", "block", "node", "root", "n", "signature").mapInArrow(_apart, "a long, b long"), "apart", temporary)
-    more = save(more.join(tried, ["a", "b"], "left_anti"), "more", temporary)
-    if more.limit(1).count():
-        stars = components(confirm(more, texts_of(more), temporary).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
+    lists = save(rows.select("key", "i", "j", "part", "block", "node", "root", "n", "signature").mapInArrow(_apart, LISTS), "apart", temporary)
+    if lists.limit(1).count():
+        links = confirm_blocks(lists, texts_of, temporary)
+        stars = components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
 
     named = save(rooted(sets.select("node", "set_id", "first")), "rooted", temporary)
     top = named.groupBy("root").agg(F.min("first").alias("top"))

@@ -114,6 +114,32 @@ def test_near_dedup_finds_large_classes_and_chains(spark):
     assert all(of[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_near_dedup_confirms_block_against_block(spark, monkeypatch):
+    """Many nodes of one bucket in classes of their own, short of the threshold, with chains among them."""
+    monkeypatch.setattr(near_dedup, "MEMBERS", 16)
+    monkeypatch.setattr(near_dedup, "VOLUME", 2_000)
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    base, texts = prose(77, 150).split(), []
+    for i in range(240):
+        w = list(base)
+        same = i // 2 if i % 4 < 2 else i  # half of them in pairs that share all edits but one
+        for k in range(3):  # three edits: similarity of about 0.66 with most others
+            w[(same * 11 + k * 47) % 150] = f"edit{same if k < 2 else i}x{k}"
+        texts.append((i, " ".join(w)))
+    found = {r["id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in texts]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(shingles[a] & shingles[b])
+            if part[a] != part[b] and 100 * both >= 75 * (len(shingles[a]) + len(shingles[b]) - both):
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    assert found == {i: part[i] for i in range(len(texts))}
+    assert 1 < len(set(part)) < len(texts)
+
+
 def test_quality_rules(docs, none):
     def brute(t):
         w = WORDS.findall((t or "").encode())
