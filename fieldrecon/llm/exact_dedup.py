@@ -34,6 +34,8 @@ from fieldrecon.llm.common import SPACES, join_on, register, save, small, table
 CAPACITY = 8192
 #: extra directory bits looked at in one step
 STEP = 3
+#: bytes of text in a batch that is put out
+BATCH = 4 << 20
 _SPACES = SPACES.encode()
 
 
@@ -89,21 +91,42 @@ def _combine(id_: str, text: str):
         """Per batch, one record for each distinct normalised text: its best row and the number of rows."""
         for b in batches:
             ids, points = b[id_].to_pylist(), pc.fill_null(pc.utf8_length(b[text]), 0).to_pylist()
-            best: dict[bytes, int] = {}
-            rows: dict[bytes, int] = {}
-            for i, t in enumerate(b[text].cast(pa.binary())):
+            texts = b[text].cast(pa.binary())
+            found: list[list] = []  # best row, number of rows, digest
+            of: dict[bytes, list[list]] = {}
+            for i, t in enumerate(texts):
                 norm = _normal(t.as_py())
-                rows[norm] = rows.get(norm, 0) + 1
-                if (j := best.get(norm)) is None or _order(points[i], ids[i]) < _order(points[j], ids[j]):
-                    best[norm] = i
-            digests = [hashlib.sha256(norm).digest() for norm in best]
-            kept = b.take(pa.array(best.values(), pa.int64()))
-            extra = [pa.array([_hash(d) for d in digests], pa.int64()), pa.array([d.hex() for d in digests], pa.string()), pa.array(rows.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *extra], [*kept.schema.names, "_h", "_sha", "_rows"])
+                digest = hashlib.sha256(norm).digest()
+                same = of.setdefault(digest, [])
+                held = next((x for x in same if _normal(texts[x[0]].as_py()) == norm), None)  # equal bytes, not only equal digests
+                if held is None:
+                    same.append([i, 1, digest])
+                    found.append(same[-1])
+                else:
+                    held[1] += 1
+                    if _order(points[i], ids[i]) < _order(points[held[0]], ids[held[0]]):
+                        held[0] = i
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for part in _parts(found, [sizes[i] for i, *_ in found]):
+                kept = b.take(pa.array([i for i, *_ in part], pa.int64()))
+                extra = [pa.array([_hash(d) for *_, d in part], pa.int64()), pa.array([d.hex() for *_, d in part], pa.string()), pa.array([n for _, n, _ in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *extra], [*kept.schema.names, "_h", "_sha", "_rows"])
 
     return run
 
 
+def _parts(rows: list, sizes: list[int]) -> Iterator[list]:
+    """`rows` in parts of about BATCH bytes."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > BATCH:
+            yield rows[start:i]
+            start, held = i, 0
+        held += n
+    if start < len(rows):
+        yield rows[start:]
+
+
 def _order(points: int, i) -> tuple:
     """Most code points first, then the smallest id, null ids last."""
     return (-points, i is None, 0 if i is None else i)
@@ -130,8 +153,10 @@ def _own(id_: str, text: str):
                     held[2] += rows[i]
                     if order < held[0]:
                         held[:2] = [order, b.slice(i, 1)]
-            if done:
-                yield _records(done)
+            for part in _parts(done, [row.nbytes for _, row, *_ in done]):
+                yield _records(part)
+            for held in chain.values():  # what goes on into the next batch holds its own rows only
+                held[1] = held[1].take(pa.array([0]))
         if chain:
             yield _records(list(chain.values()))
 

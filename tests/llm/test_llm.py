@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import random
 import re
 import zlib
 
@@ -115,7 +116,7 @@ def test_near_dedup_finds_large_classes_and_chains(spark):
 
 
 def test_near_dedup_confirms_block_against_block(spark, monkeypatch):
-    """Many nodes of one bucket in classes of their own, short of the threshold, with chains among them."""
+    """Many nodes of one bucket in classes of their own, short of the threshold, and pairs and chains among them."""
     monkeypatch.setattr(near_dedup, "MEMBERS", 16)
     monkeypatch.setattr(near_dedup, "VOLUME", 2_000)
     monkeypatch.setattr(near_dedup, "BLOCK", 32)
@@ -124,8 +125,8 @@ def test_near_dedup_confirms_block_against_block(spark, monkeypatch):
     for i in range(240):
         w = list(base)
         same = i // 2 if i % 4 < 2 else i  # half of them in pairs that share all edits but one
-        for k in range(3):  # three edits: similarity of about 0.66 with most others
-            w[(same * 11 + k * 47) % 150] = f"edit{same if k < 2 else i}x{k}"
+        for k, at in enumerate(random.Random(same).sample(range(150), 4)):
+            w[at] = f"edit{same if k < 3 else i}x{k}"
         texts.append((i, " ".join(w)))
     found = {r["id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
     shingles = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in texts]
