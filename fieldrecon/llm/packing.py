@@ -79,7 +79,6 @@ def cut(docs: DataFrame, doc_id: str, text: str, capacity: int, path: str, with_
                 own = b.take(pa.array(row, pa.int64()))
                 out = [*[own[f.name] for f in kept], pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, [f.name for f in kept] + ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-        enc.forget()  # workers are used again, by stages that need no tokens too
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(pieces, f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -15,8 +15,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from fieldrecon.llm.shingles import runs
 
-#: pieces kept in a worker's cache while it works on a partition (about 130 bytes each)
-CACHE = 400_000
+#: pieces kept in a worker's cache (about 130 bytes each)
+CACHE = 600_000
 #: words encoded in one call
 JOINED = 2_000
 _BLANK = np.zeros(256, bool)
@@ -53,9 +53,9 @@ class Encoder:
         self.simple = Tokenizer.from_file(path)
         self.simple.normalizer = normalizers.Sequence([])
         self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.forget()
+        self._forget()
 
-    def forget(self) -> None:
+    def _forget(self) -> None:
         """Empties the cache: slots of known pieces, and where a slot's ids lie in the pool."""
         self.slots: dict[int, int] = {}
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -99,7 +99,7 @@ class Encoder:
         hashes, starts, ends = runs(data, _BLANK)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) + len(distinct) > CACHE:
-            self.forget()
+            self._forget()
         keys = distinct.tolist()
         new = [k for k, h in enumerate(keys) if h not in self.slots]
         if new:
