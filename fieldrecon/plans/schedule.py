@@ -230,7 +230,9 @@ def s4(spark, sf):
     from fieldrecon.sources import documents
 
     items = plan_items(spark, sf)
-    marks = [(m, dates.at_minute(C("plan_date"), vocab.SHIFT_START + F.bround(m * C("minutes") / 100))) for m in vocab.MILESTONES]
+    # a page may announce millions of cores: a hundred times their minutes pass the range of an int
+    share = lambda m: F.bround(m * C("minutes").cast("long") / 100)
+    marks = [(m, dates.at_minute(C("plan_date"), vocab.SHIFT_START + share(m))) for m in vocab.MILESTONES]
     path = new_folder(spark, "plan")
     documents.write_plan(items, marks, path)
     return documents.read_plan(spark, path).select("region", "path", "identifier", "milestone", "at")
