@@ -89,6 +89,25 @@ def write_sidecars(sidecars: DataFrame, keys: list[str], folder: str) -> None:
     rows.write.partitionBy(*keys).text(folder)
 
 
+def write_sidecar_packs(sidecars: DataFrame, tree: list[str], folder: str) -> None:
+    """Sidecars of many folders in few files: below the keys of `tree`, one JSON line holds a folder's other keys and text.
+
+    The number of files follows the bytes, not the folders, of which large data has millions.
+    """
+    line = F.to_json(F.struct(*[c for c in sidecars.columns if c not in tree]))
+    rows = sidecars.select(*tree, line.alias("value")).hint("rebalance", *[C(c) for c in tree])
+    rows.write.partitionBy(*tree).text(folder)
+
+
+def packed_sidecars(spark: SparkSession, folder: str, tree: list[str], keys: list[str]) -> DataFrame:
+    """tree, keys and text of every sidecar in packs; a missing folder gives no rows."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in [*tree, *keys, "date_text"]))
+    found = spark.read.schema(", ".join(f"{k} string" for k in ["value", *tree])).text(folder)
+    found = found.withColumn("v", F.from_json("value", ", ".join(f"{k} string" for k in [*keys, "date_text"])))
+    return found.select(*tree, *[C(f"v.{k}").alias(k) for k in keys], strip(C("v.date_text")).alias("date_text"))
+
+
 def sidecar_join(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Every photo with the text of its folder's sidecar, NULL where there is none."""
     return photos.join(sidecars, ["region", "category", "identifier"], "left")

@@ -1,6 +1,7 @@
 """Queries over tables whose keys and groups are those of much larger data."""
 
 import datetime as dt
+import glob
 import os
 
 import duckdb
@@ -8,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from fieldrecon.plans import schedule
+from fieldrecon.session import scratch_folder
+from fieldrecon.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +35,21 @@ def test_plan_documents_of_entries_with_millions_of_minutes(spark, far_keys):
     assert max(x[4] for x in expected) > "2100"
     got = entry.queries()["s4_plan_nested_io"](spark, far_keys).select("region", "path", "identifier", "milestone", "at")
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_sidecars_need_far_fewer_files_than_sets(spark, sf):
+    made = lambda: set(glob.glob(scratch_folder(spark).removeprefix("file:") + "/sidecars-*"))
+    before = made()
+    rows = entry.queries()["s6_sidecar_text_join"](spark, sf)
+    sets = rows.filter("note is not null").select("region", "category", "identifier").distinct().count()
+    (folder,) = made() - before
+    assert len(glob.glob(f"{folder}/**/part-*", recursive=True)) < sets / 2
+
+
+def test_packed_sidecars_keep_odd_keys_and_texts(spark, tmp_path):
+    rows = [("BTP JAK", "A/B", "", "Rabu"), ("BTP JAK", "A/B", "W 1%2 =x", "a\n\"b\""), ("BTP BD", "007", "1e3", "Senin, Jan 16 1999")]
+    made = spark.createDataFrame(rows, "region string, category string, identifier string, date_text string")
+    files.write_sidecar_packs(made, ["region", "category"], str(tmp_path / "packs"))
+    read = lambda name: files.packed_sidecars(spark, str(tmp_path / name), ["region", "category"], ["identifier"])
+    assert sorted(map(tuple, read("packs").collect())) == sorted(rows)
+    assert read("none").count() == 0
