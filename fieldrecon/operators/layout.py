@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldrecon import vocab
 from fieldrecon.functions.text import ASSET_CODE, normalize_spaces
 from fieldrecon.operators import ordering
+from fieldrecon.session import cut_lineage
 
 C = F.col
 
@@ -39,18 +40,25 @@ def words_to_lines(words: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 
 def _clustered(images: DataFrame, page: list[str], gap: int) -> DataFrame:
-    """page, top, n, cluster: a new cluster starts where the step from the coordinate before is >= gap."""
+    """_part, page, top, n, cluster: a new cluster starts where the step from the coordinate before is >= gap."""
     tops = ordering.deal(images.groupBy(*page, "top").agg(F.count("*").alias("n")), [*page, "top"])
     steps = ordering.previous(tops, page, ["top"], "top", "_before")
     steps = steps.withColumn("break", F.when(C("top") - C("_before") >= gap, 1).otherwise(0))
-    return ordering.running_total(steps, page, ["top"], "break", "cluster").select(*page, "top", "n", "cluster")
+    return ordering.running_total(steps, page, ["top"], "break", "cluster").select("_part", *page, "top", "n", "cluster")
 
 
-def _rows_of(clustered: DataFrame, page: list[str], least: int, block: int = 4096) -> DataFrame:
-    """page, cluster, row_no, row_top, row_size: clusters of at least `least` images, numbered in order."""
-    rows = clustered.groupBy(*page, "cluster").agg(F.sum("n").alias("row_size"), F.min("top").alias("row_top"))
-    rows = rows.filter(C("row_size") >= least).withColumn("_block", F.floor(C("cluster") / block))
-    return ordering.rank_in_groups(rows, page, ["_block"], ["cluster"], "row_no").drop("_block")
+def _rows_of(clustered: DataFrame, page: list[str], least: int) -> DataFrame:
+    """page, cluster, row_no, row_top, row_size: clusters of at least `least` images, numbered in order.
+
+    A cluster belongs to the range it starts in, so clusters stay dealt in ranges of their order.
+    """
+    # summed within ranges first: few clusters lie in two
+    pieces = clustered.groupBy("_part", *page, "cluster").agg(F.sum("n").alias("n"), F.min("top").alias("top"))
+    rows = pieces.groupBy(*page, "cluster").agg(
+        F.sum("n").alias("row_size"), F.min("top").alias("row_top"), F.min("_part").alias("_part")
+    )
+    rows = cut_lineage(rows.filter(C("row_size") >= least).withColumn("_one", F.lit(1)))
+    return ordering.running_total(rows, page, ["cluster"], "_one", "row_no").drop("_one", "_part")
 
 
 def row_clusters(images: DataFrame, page: list[str], gap: int = vocab.ROW_GAP, least: int = 3) -> DataFrame:
@@ -59,9 +67,9 @@ def row_clusters(images: DataFrame, page: list[str], gap: int = vocab.ROW_GAP, l
     A new row starts where the step from the previous coordinate is >= gap;
     rows of fewer than `least` images are dropped, the rest keep their order.
     """
-    tops = _clustered(images, page, gap)
+    tops = cut_lineage(_clustered(images, page, gap))  # read twice below
     rows = _rows_of(tops, page, least)
-    return tops.join(rows, [*page, "cluster"]).select(*page, "top", "row_no", "row_top", "row_size")
+    return tops.drop("_part").join(rows, [*page, "cluster"]).select(*page, "top", "row_no", "row_top", "row_size")
 
 
 def page_rows(images: DataFrame, page: list[str], gap: int = vocab.ROW_GAP, least: int = 3) -> DataFrame:

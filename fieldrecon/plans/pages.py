@@ -8,7 +8,7 @@ from fieldrecon import vocab
 from fieldrecon.operators import consensus, layout, ordering
 from fieldrecon.plans.common import oracle, query, table, view
 from fieldrecon.plans.joins import PAGE, SQL_ROWS
-from fieldrecon.session import new_folder
+from fieldrecon.session import cut_lineage, new_folder
 from fieldrecon.sources import sinks
 
 C = F.col
@@ -105,7 +105,7 @@ def s7(spark, sf):
     """Outcome of every image row of a page, as the export audit records it: two runs append, the log is read back."""
     rows = layout.page_rows(view(spark, sf, "b_image"), PAGE, least=1)
     status = F.when(C("row_size") < 3, F.format_string("skipped: %d placements", "row_size")).otherwise("ok")
-    rows = rows.select(*PAGE, "row_top", "row_size", status.alias("status"))
+    rows = cut_lineage(rows.select(*PAGE, "row_top", "row_size", status.alias("status")))  # both runs read it
     path = new_folder(spark, "audit")
     for run in (C("page") <= 2, C("page") > 2):
         sinks.append_audit(rows.filter(run), path)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fieldrecon.operators import layout, ordering
 from fieldrecon.plans import schedule
 from fieldrecon.session import scratch_folder
 from fieldrecon.sources import files
@@ -53,3 +54,25 @@ def test_packed_sidecars_keep_odd_keys_and_texts(spark, tmp_path):
     read = lambda name: files.packed_sidecars(spark, str(tmp_path / name), ["region", "category"], ["identifier"])
     assert sorted(map(tuple, read("packs").collect())) == sorted(rows)
     assert read("none").count() == 0
+
+
+def test_ranges_follow_the_rows_not_the_session(spark, monkeypatch):
+    frame = spark.range(20_000).selectExpr("id % 2 AS g", "cast(id / 7 AS double) AS x")
+    dealt = ordering.deal(frame, ["g", "x"], size=500)
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 2000
+    monkeypatch.setattr(ordering.deal, "__defaults__", (500,))
+    monkeypatch.setattr(ordering.gather, "__defaults__", (500,))
+    tops = [k * 15 if k % 4 else k * 15 - 14 for k in range(8000)]
+    images = spark.createDataFrame([(1, float(t)) for t in tops], "page int, top double")
+    got = [(r["row_no"], r["row_top"], r["row_size"]) for r in layout.page_rows(images, ["page"], least=2).orderBy("row_no").collect()]
+    # every fourth coordinate stands right behind the one before it
+    assert got == [(i, float(k * 15 - 15), 2) for i, k in enumerate(range(4, 8000, 4), 1)]
+
+
+def test_only_borders_are_joined_to_ranges(spark):
+    """No join of all groups of a table: a group of few rows has nothing to carry."""
+    frame = spark.range(5000).selectExpr("id AS g", "cast(id AS double) AS x")
+    rows = ordering.previous(ordering.deal(frame, ["g", "x"]), ["g"], ["x"], "x", "before")
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert rows.filter("before is not null").count() == 0
