@@ -9,6 +9,7 @@ from fieldrecon.functions import dates, text
 from fieldrecon.operators import layout, matching, ordering
 from fieldrecon.plans.common import oracle, query, table, view
 from fieldrecon.plans.rules import SQL_DESC_STATION, SQL_PARSED, sql_category, sql_identifier, sql_timemark
+from fieldrecon.session import cut_lineage
 
 C = F.col
 _STAGES = str(vocab.COMPOUND_SUFFIXES)[1:-1]
@@ -264,8 +265,9 @@ def j10(spark, sf):
     return rows.select(*PAGE, *_POS, "centre", C("row_top").cast("double").alias("row_top"))
 
 
-def line_ordinals(spark, sf):
-    lines = view(spark, sf, "b_asset_line").select("report_id", *_POS, "line")
+def line_ordinals(spark, sf, reports):
+    """The lines of `reports`, numbered in order within their report."""
+    lines = view(spark, sf, "b_asset_line").select("report_id", *_POS, "line").join(reports, "report_id", "left_semi")
     lines = lines.withColumn("part_block", F.floor(C("part_id") / 65536))
     ranked = ordering.rank_in_groups(lines, ["report_id"], ["line_no", "part_block"], ["part_id", "supp_id"], "ordinal")
     return ranked.select("report_id", "ordinal", "line")
@@ -297,8 +299,10 @@ def j11(spark, sf):
     above = above.select(*PAGE, C("top").alias("row_top"), "label")
     skip = ordering.offsets(rows, ["report_id"], ["page"], F.count("*"), "row_offset")
     rows = rows.join(above, [*PAGE, "row_top"], "left").join(skip, PAGE)
-    rows = rows.withColumn("ordinal", C("row_offset") + C("row_no"))
-    rows = rows.join(line_ordinals(spark, sf), ["report_id", "ordinal"], "left")
+    rows = cut_lineage(rows.withColumn("ordinal", C("row_offset") + C("row_no")))
+    # a row below a label needs no line, so most reports' lines are not numbered
+    unnamed = rows.filter("label is null").select("report_id").distinct()
+    rows = rows.join(line_ordinals(spark, sf, unnamed), ["report_id", "ordinal"], "left")
     source = F.when(C("label").isNotNull(), "above").when(C("line").isNotNull(), "ordinal").otherwise("none")
     return rows.select(*PAGE, "row_no", F.coalesce("label", "line").alias("label"), source.alias("source"))
 

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from fieldrecon.operators import layout, ordering
-from fieldrecon.plans import schedule
+from fieldrecon.plans import joins, schedule
 from fieldrecon.session import scratch_folder
 from fieldrecon.sources import files
 
@@ -76,3 +76,11 @@ def test_only_borders_are_joined_to_ranges(spark):
     rows = ordering.previous(ordering.deal(frame, ["g", "x"]), ["g"], ["x"], "x", "before")
     assert "SortMergeJoin" not in rows._jdf.queryExecution().sparkPlan().toString()
     assert rows.filter("before is not null").count() == 0
+
+
+def test_only_reports_with_unnamed_rows_have_their_lines_numbered(spark, sf, monkeypatch):
+    asked, number = [], joins.line_ordinals
+    monkeypatch.setattr(joins, "line_ordinals", lambda spark, sf, reports: (asked.append(reports.count()), number(spark, sf, reports))[1])
+    rows = entry.queries()["j11_positional_fallback"](spark, sf)
+    assert asked == [rows.filter("source <> 'above'").select("report_id").distinct().count()]
+    assert 0 < asked[0] < rows.select("report_id").distinct().count()
