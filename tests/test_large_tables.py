@@ -84,3 +84,8 @@ def test_only_reports_with_unnamed_rows_have_their_lines_numbered(spark, sf, mon
     rows = entry.queries()["j11_positional_fallback"](spark, sf)
     assert asked == [rows.filter("source <> 'above'").select("report_id").distinct().count()]
     assert 0 < asked[0] < rows.select("report_id").distinct().count()
+
+
+def test_images_of_full_pages_are_not_sorted(spark, sf):
+    plan = entry.queries()["j17_semi_photo_pages"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
