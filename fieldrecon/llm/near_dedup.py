@@ -11,12 +11,15 @@ the pair shares a key exactly.  Candidates are confirmed on the full sets.
 
 No group is paired with itself:
 1. equal sets are one node, however many documents have them;
-2. every index bucket has a leader (the node of the smallest hash, which is the same
-   node in most buckets of a class), and a node is compared with the first LEADERS
-   of its buckets' leaders; ROUNDS rounds of this link nearly all of a large class;
+2. every index bucket has a leader (the node that meets most others in its buckets, so
+   of a text and its edited copies the least edited one, and the same in most buckets
+   of a class), and a node is compared with the first LEADERS of its buckets' leaders;
+   ROUNDS rounds of this link nearly all of a large class;
 3. only in buckets that still hold nodes of different classes, every pair of nodes of
    different classes within the distance is confirmed, which makes the result exact.
-   The nodes of such buckets are dealt into blocks of a set volume, those that share a
+   Before, shingles are counted over these nodes: those of one node only and the RARE
+   rarest others bound what two nodes can share, and a pair (or a node) whose bound is
+   below the threshold is not listed.  The nodes of such buckets are dealt into blocks of a set volume, those that share a
    leader together.  The pairs of one bucket travel as one list for each two blocks, a
    text is sent once for each block that its own meets, and the sets are intersected
    block against block inside a task, which puts out links only.
@@ -65,6 +68,8 @@ PAIRS = 200_000
 #: nodes and shingles in a block whose sets are intersected with those of another
 MEMBERS = 512
 VOLUME = 1_000_000
+#: rarest shingles of a node that bound what it shares with another
+RARE = 64
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -171,6 +176,8 @@ def _candidates(group, held: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         return
     column = lambda c: np.concatenate([b[c].to_numpy() for b in held])
     node, root, n, part, block = column("node"), column("root"), column("n"), column("part"), column("block")
+    alone, rare = column("alone"), np.concatenate([b["rare"].flatten().to_numpy() for b in held])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([pc.list_value_length(b["rare"]).to_numpy() for b in held]))])
     sig = np.frombuffer(b"".join(x for b in held for x in b["signature"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
     width = POSITIONS // CHUNKS
     ways = len(list(combinations(range(width), DISTANCE // CHUNKS)))
@@ -193,6 +200,7 @@ def _candidates(group, held: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         shares = same >= width - DISTANCE // CHUNKS
         first = (shares.argmax(axis=1) == chunk) & ((same[:, chunk] < width) | (way == 0))
         y = y[first & (same.sum(axis=1) >= POSITIONS - DISTANCE)]
+        y = y[_reachable(x, y, n, alone, rare, at)]
         one.append(np.full(len(y), x))
         two.append(y)
         gathered += len(y)
@@ -203,6 +211,48 @@ def _candidates(group, held: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield found()
 
 
+def _reachable(x: int, y: np.ndarray, n: np.ndarray, alone: np.ndarray, rare: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether set x may be similar to each of the sets y.
+
+    Of a set of size n, `alone` shingles are in no other set; its rarest others are rare[at[i]:at[i + 1]], ascending
+    in an order that all sets share.  Up to the last place that both lists reach common shingles are counted;
+    all that follow are taken as common.
+    """
+    mine, size = rare[at[x] : at[x + 1]], at[y + 1] - at[y]
+    who = np.repeat(np.arange(len(y)), size)
+    theirs = rare[np.repeat(at[y] - np.cumsum(size) + size, size) + np.arange(len(who))]
+    end = np.minimum(mine[-1], rare[at[y + 1] - 1])
+    seen = theirs <= end[who]
+    equal = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+    both = np.bincount(who[seen & equal], minlength=len(y))
+    rest_x = n[x] - alone[x] - np.searchsorted(mine, end, side="right")
+    rest_y = n[y] - alone[y] - np.bincount(who[seen], minlength=len(y))
+    both = both + np.minimum(rest_x, rest_y)
+    return 100 * both >= SIMILAR * (n[x] + n[y] - both)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node = b["node"].to_numpy()
+        for i, s in _sets_of(b["text"]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node[i])), pa.array(s.view(np.int64))], ["node", "shingle"])
+
+
+def rarest(texts: DataFrame, temporary: list[str]) -> DataFrame:
+    """(node, alone, rare): how many shingles no other node has, and the RARE rarest of the others, by count and hash.
+
+    A node that shares too few shingles for any link has no row.  `texts`: (node, n, text).
+    """
+    own = save(texts.select("node", "text").mapInArrow(_shingles, "node long, shingle long"), "shingles", temporary)
+    held = own.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    # equal numbers for unequal shingles only raise the bound
+    number = F.shiftleft(F.least("held", F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("shingle", 16))
+    common = own.join(held, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(number)).alias("rare"))
+    common = common.join(texts.select("node", "n"), "node").withColumn("common", F.size("rare"))
+    common = common.filter(100 * F.col("common") >= SIMILAR * F.col("n"))
+    return save(common.select("node", (F.col("n") - F.col("common")).alias("alone"), F.slice("rare", 1, RARE).alias("rare")), "rare", temporary)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures are within the distance."""
     for b in batches:
@@ -314,14 +364,13 @@ class _Meeting:
         return out
 
 
-def confirm_blocks(lists: DataFrame, texts_of, temporary: list[str]) -> DataFrame:
-    """Links among listed pairs, enough of them to join every class.  `lists`: saved rows of LISTS; `texts_of`: texts of nodes."""
+def confirm_blocks(lists: DataFrame, texts: DataFrame, temporary: list[str]) -> DataFrame:
+    """Links among listed pairs, enough of them to join every class.  `lists`: saved rows of LISTS; `texts`: (node, n, text)."""
     at = ["left_block", "right_block"]
     own = F.col("left_block") == F.col("right_block")
     left = lists.select(*at, F.explode("left").alias("node"), F.lit(1).alias("kind"))
     right = lists.select(*at, F.explode("right").alias("node"), F.lit(2).alias("kind"))
     held = left.unionByName(right.filter(own).withColumn("kind", F.lit(1))).unionByName(right).distinct()
-    texts = texts_of(lists.select(F.explode(F.concat("left", "right")).alias("node")))
     none = F.lit(None)
     sent = held.join(texts.select("node", "text"), "node").select(
         *at, "kind", "node", none.cast("array<long>").alias("left"), none.cast("array<long>").alias("right"), none.cast("binary").alias("x"), none.cast("binary").alias("y"), "text"
@@ -366,6 +415,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     keys = save(sets.select("node", "signature").mapInArrow(_keys, "key long, node long"), "keys", temporary)
     full = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     shared = save(keys.join(full, "key"), "shared", temporary)  # only buckets with two nodes or more matter from here on
+    met_often = save(shared.groupBy("node").agg(F.sum("held").alias("meets")), "meets", temporary)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         need = nodes.distinct().join(sets.select("node", "id", "text_key", "n"), "node")
@@ -379,8 +429,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     stars = sets.select("node", F.col("node").alias("root")).limit(0)
     for turn in range(ROUNDS):
-        # the first node of every bucket in this round's order, met by nodes of other classes: LEADERS of them for a node
-        rows = rooted(shared).withColumn("order", F.xxhash64("node", F.lit(turn)))
+        # the node of every bucket that meets most others, met by nodes of other classes: LEADERS of them for a node
+        rows = rooted(shared.join(met_often, "node")).withColumn("order", F.struct(-F.col("meets"), F.xxhash64("node", F.lit(turn))))
         lead = rows.groupBy("key").agg(F.min(F.struct("order", "node", "root")).alias("lead"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
         met = rows.join(lead.select("key", "lead"), "key").filter(F.col("root") != F.col("lead.root")).select("lead.order", F.col("lead.node").alias("a"), F.col("node").alias("b"))
         met = met.distinct().withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("order", "a"))).filter(F.col("place") <= LEADERS)
@@ -393,19 +443,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shared = rooted(shared).withColumn("order", F.xxhash64("node"))
     mixed = shared.groupBy("key").agg(F.min(F.struct("order", "node")).getField("node").alias("lead"), (F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
     rows = save(shared.join(mixed.select("key", "lead"), "key").join(sets.select("node", "n"), "node").select("key", "node", "root", "held", "lead", "n", "order"), "mixed", temporary)
+    texts = texts_of(rows.select("node"))
+    rare = rarest(texts, temporary)
     # a block: nodes with one leader, as many as MEMBERS and VOLUME allow
-    led = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("lead"), "lead")).getField("lead").alias("lead"), F.first("n").alias("n"))
+    led = rows.join(rare, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.xxhash64("lead"), "lead")).getField("lead").alias("lead"), F.first("n").alias("n"))
     load = led.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / VOLUME)).alias("blocks"))
     dealt = led.join(load, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node", F.lit("deal")), F.col("blocks"))).alias("block"))
     parts = F.ceil(F.col("held") / BLOCK).cast("int")
-    rows = rows.drop("lead", "order").join(save(dealt, "dealt", temporary), "node").join(sets.select("node", "signature"), "node")
+    rows = rows.drop("lead", "order").join(rare, "node").join(save(dealt, "dealt", temporary), "node").join(sets.select("node", "signature"), "node")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    lists = save(rows.select("key", "i", "j", "part", "block", "node", "root", "n", "signature").mapInArrow(_apart, LISTS), "apart", temporary)
+    lists = save(rows.select("key", "i", "j", "part", "block", "node", "root", "n", "signature", "alone", "rare").mapInArrow(_apart, LISTS), "apart", temporary)
     if lists.limit(1).count():
-        links = confirm_blocks(lists, texts_of, temporary)
+        links = confirm_blocks(lists, texts, temporary)
         stars = components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
 
     named = save(rooted(sets.select("node", "set_id", "first")), "rooted", temporary)

@@ -141,6 +141,48 @@ def test_near_dedup_confirms_block_against_block(spark, monkeypatch):
     assert 1 < len(set(part)) < len(texts)
 
 
+def test_near_dedup_lists_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of one text, each edited too much to be linked with any other: their pairs are ruled out before they are listed."""
+    base, texts = prose(78, 150).split(), []
+    for i in range(300):
+        w = list(base)
+        for k in range(6):
+            w[10 + 25 * k + random.Random(i * 6 + k).randrange(3)] = f"edit{i}x{k}"
+        texts.append((i, " ".join(w)))
+    texts += [(1000, " ".join([*base, "end"])), (1001, " ".join([*base, "fin"]))]
+    listed, confirm = [], near_dedup.confirm_blocks
+
+    def spy(lists, *rest):
+        listed.append(sum(len(r["x"]) // 4 for r in lists.select("x").collect()))
+        return confirm(lists, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirm_blocks", spy)
+    found = {r["id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in texts]
+    linked = {(a, b) for a in range(302) for b in range(a) if 100 * len(shingles[a] & shingles[b]) >= 75 * len(shingles[a] | shingles[b])}
+    assert linked == {(301, 300)}
+    assert found == {i: i for i in range(300)} | {1000: 1000, 1001: 1000}
+    assert sum(listed) < len(texts)
+
+
+def test_bound_on_shared_shingles_loses_no_link(monkeypatch):
+    draw = random.Random(5)
+    base = [f"s{k}" for k in range(60)]
+    sets = [set(base[: draw.choice([40, 55, 60])]) - set(draw.sample(base, draw.randrange(15))) | {f"e{draw.randrange(400)}" for _ in range(draw.randrange(12))} for _ in range(150)]
+    count = collections.Counter(x for s in sets for x in s)
+    place = {x: k for k, x in enumerate(sorted(count, key=lambda x: (count[x], x)))}
+    n, alone = np.array([len(s) for s in sets]), np.array([sum(count[x] == 1 for x in s) for s in sets])
+    for most in (1, 8, 100):  # of the rarest shingles
+        lists = [sorted(place[x] for x in s if count[x] > 1)[:most] for s in sets]
+        at, rare = np.cumsum([0, *map(len, lists)]), np.array([k for x in lists for k in x])
+        left = 0
+        for a in range(len(sets)):
+            may = near_dedup._reachable(a, np.arange(len(sets)), n, alone, rare, at)
+            left += int(may.sum())
+            assert all(may[b] for b in range(len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+        assert left < len(sets) ** 2 or most == 1
+
+
 def test_quality_rules(docs, none):
     def brute(t):
         w = WORDS.findall((t or "").encode())
