@@ -49,7 +49,7 @@ def _hash(digest: bytes) -> int:
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        digests = [hashlib.sha256(_normal(t)).digest() for t in b["text"].cast(pa.binary()).to_pylist()]
+        digests = [hashlib.sha256(_normal(t.as_py())).digest() for t in b["text"].cast(pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [b["id"], pa.array([_hash(d) for d in digests], pa.int64()), pa.array([d.hex() for d in digests], pa.string())],
             ["id", "h", "sha"],

@@ -15,7 +15,7 @@ from fieldrecon.llm.common import SPACES
 
 SIZE = 5
 #: bytes looked at in one step: bounds the arrays whatever a text's length
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240501)
 _BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

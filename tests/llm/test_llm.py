@@ -165,6 +165,31 @@ def test_near_dedup_lists_few_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(listed) < len(texts)
 
 
+def test_workers_hold_little_beside_their_texts():
+    """Several workers share an executor with the JVM: working arrays and the token cache stay small."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from fieldrecon.llm import shingles, tokens
+
+    draw = random.Random(3)
+    pieces = sorted({"".join(draw.choices("abcdefghijklmnop", k=7)) for _ in range(60_000)})
+    enc = tokens.Encoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    text = " ".join(pieces) * 4
+    shingles.words(text.encode()[:1000])
+    tracemalloc.start()
+    shingles.words(text.encode())
+    assert tracemalloc.get_traced_memory()[1] < 30 * 2**20
+    start = tracemalloc.get_traced_memory()[0]
+    for lo in range(0, len(pieces), 2000):
+        enc.encode([" ".join(pieces[lo : lo + 2000])])
+    held = tracemalloc.get_traced_memory()[0] - start
+    tracemalloc.stop()
+    assert held < 80 * len(pieces)
+    assert enc.encode([" ".join(pieces[:500])]) == [b"".join(enc.encode([p])[0] for p in pieces[:500])]
+
+
 def test_bound_on_shared_shingles_loses_no_link(monkeypatch):
     draw = random.Random(5)
     base = [f"s{k}" for k in range(60)]
