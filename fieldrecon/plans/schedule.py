@@ -11,6 +11,7 @@ from fieldrecon.plans.common import oracle, query, view
 from fieldrecon.plans.joins import SQL_CATS, SQL_MINUTES, all_categories, classified
 from fieldrecon.plans.rules import sql_date_multi, sql_file_station, sql_identifier, sql_line_category, sql_region
 from fieldrecon.session import new_folder
+from fieldrecon.sources.bindings import unfused
 
 C = F.col
 
@@ -30,7 +31,7 @@ assets AS (
 
 def planned_assets(spark, sf):
     reports = classified(spark, sf).select("report_id", "category", "file_name", "path")
-    rows = planning.expand_assets(reports, view(spark, sf, "b_asset_line"))
+    rows = planning.expand_assets(reports, unfused(view(spark, sf, "b_asset_line"), "line_no"))
     ord_ = C("line_no") * 1000000000000 + C("part_id") * 1000000 + C("supp_id")
     return rows.select("report_id", "category", "path", "identifier", ord_.alias("ord"))
 
@@ -93,7 +94,7 @@ def plan_items(spark, sf):
     assets = planned_assets(spark, sf).withColumn("region", text.region_of_identifier(C("identifier"))["region"])
     dims = F.broadcast(matching.category_minutes(all_categories(spark), vocab.durations(spark), vocab.labour(spark)))
     # parsed below an aggregate: the filter stays above it, so the date rule is evaluated once
-    dated = view(spark, sf, "b_page_text").groupBy("report_id").agg(
+    dated = unfused(view(spark, sf, "b_page_text"), "report_id").groupBy("report_id").agg(
         F.min(dates.parse_date_multi(C("text"))).alias("plan_date"), F.max(text.core_count(C("text"))).alias("cores")
     ).filter("plan_date is not null")
     rows = assets.join(dated, "report_id").join(dims.select("category", C("minutes").alias("m"), "asset_id"), "category", "left")

@@ -89,3 +89,15 @@ def test_only_reports_with_unnamed_rows_have_their_lines_numbered(spark, sf, mon
 def test_images_of_full_pages_are_not_sorted(spark, sf):
     plan = entry.queries()["j17_semi_photo_pages"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_of_lines_are_not_fused_into_one_method(spark, sf, monkeypatch):
+    """The JVM does not compile the method that a fused stage makes of them."""
+    seen = []
+    monkeypatch.setattr(schedule.planning, "expand_assets", lambda reports, lines: seen.append(lines) or lines.selectExpr("*", "'' category", "'' path", "line identifier"))
+    schedule.planned_assets(spark, sf)
+    plan = seen[0].select("report_id", "line_no", "line")._jdf.queryExecution().executedPlan().toString()
+    made = [row for row in plan.splitlines() if "PENGGERAK" in row]
+    assert made and not any("*(" in row for row in made)
+    plain = schedule.view(spark, sf, "b_asset_line")
+    assert seen[0].schema.names == plain.schema.names and seen[0].exceptAll(plain).count() == 0 == plain.exceptAll(seen[0]).count()
