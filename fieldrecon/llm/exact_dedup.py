@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import SPACES, join_on, register, save, small, table
+from fieldrecon.llm.common import SPACES, join_on, lean, register, save, save_lean, small, table
 
 #: distinct hashes in a bucket before it is split
 CAPACITY = 8192
@@ -60,7 +60,7 @@ def entries(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One narrow row per document: id, hash, digest and a number that tells repeated rows apart."""
     narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return save(narrow.mapInArrow(_entries, f"id {kind}, h long, sha string").withColumn("row_no", F.monotonically_increasing_id()), "entries")
+    return save_lean(narrow.mapInArrow(lean(_entries), f"id {kind}, h long, sha string").withColumn("row_no", F.monotonically_increasing_id()), "entries")
 
 
 def directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
@@ -180,11 +180,11 @@ def build_index(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns])
     id_, text = f"c_{doc_id}", f"c_{text}"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    records = rows.mapInArrow(_combine(id_, text), f"{fields}, _h long, _sha string, _rows long").withColumn("_slot", F.shiftrightunsigned("_h", 64 - bits))
+    records = rows.mapInArrow(lean(_combine(id_, text)), f"{fields}, _h long, _sha string, _rows long").withColumn("_slot", F.shiftrightunsigned("_h", 64 - bits))
     where = small(slots.select(F.col("slot").alias("_slot"), F.col("depth").alias("_depth"), F.col("bucket").alias("_bucket")))
     owned = records.join(where, "_slot").drop("_slot").repartition("_depth", "_bucket").sortWithinPartitions("_depth", "_bucket", "_h")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in owned.schema)
-    return save(owned.mapInArrow(_own(id_, text), f"{kinds}, _chain long"), "index")
+    return save_lean(owned.mapInArrow(lean(_own(id_, text)), f"{kinds}, _chain long"), "index")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

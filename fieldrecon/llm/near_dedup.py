@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import drop, join_on, register, save, shield, small, table, text_key, unshield
+from fieldrecon.llm.common import drop, join_on, lean, register, save, save_lean, shield, small, table, text_key, unshield
 from fieldrecon.llm.shingles import MinHash, shingle_sets
 
 POSITIONS = 64
@@ -106,8 +106,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: id, text key, set size, fingerprint and signature of the set, and a row number."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("text_key"), F.col(text).alias("_text"))
-    signed = rows.mapInArrow(_sign, f"id {kind}, text_key long, n_shingles long, set_id binary, signature binary")
-    return save(signed.withColumn("row_no", F.monotonically_increasing_id()), "signatures")
+    signed = rows.mapInArrow(lean(_sign), f"id {kind}, text_key long, n_shingles long, set_id binary, signature binary")
+    return save_lean(signed.withColumn("row_no", F.monotonically_increasing_id()), "signatures")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def rarest(texts: DataFrame, temporary: list[str]) -> DataFrame:
 
     A node that shares too few shingles for any link has no row.  `texts`: (node, n, text).
     """
-    own = save(texts.select("node", "text").mapInArrow(_shingles, "node long, shingle long"), "shingles", temporary)
+    own = save_lean(texts.select("node", "text").mapInArrow(lean(_shingles), "node long, shingle long"), "shingles", temporary)
     held = own.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
     # equal numbers for unequal shingles only raise the bound
     number = F.shiftleft(F.least("held", F.lit(32767)), 48).bitwiseOR(F.shiftrightunsigned("shingle", 16))
@@ -292,7 +292,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, temporary: list[str]) -> DataFra
         member.select("a", "b", "share", F.lit(False).alias("is_leader"), "text")
     )
     rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.desc("is_leader"))
-    return save(rows.select("a", "b", "is_leader", "text").mapInArrow(_confirm, "a long, b long"), "links", temporary)
+    return save_lean(rows.select("a", "b", "is_leader", "text").mapInArrow(lean(_confirm), "a long, b long"), "links", temporary)
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +377,7 @@ def confirm_blocks(lists: DataFrame, texts: DataFrame, temporary: list[str]) ->
     )
     rows = lists.select(*at, F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("node"), "left", "right", "x", "y", none.cast("string").alias("text")).unionByName(sent)
     rows = rows.repartition(*at).sortWithinPartitions(*at, "kind", "node")
-    return save(rows.mapInArrow(_intersect, "a long, b long"), "links", temporary)
+    return save_lean(rows.mapInArrow(lean(_intersect), "a long, b long"), "links", temporary)
 
 
 def components(links: DataFrame, temporary: list[str]) -> DataFrame:
@@ -412,7 +412,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_no"))).alias("first"),
     )
     sets = save(sets.select("set_id", F.col("r.row_no").alias("node"), F.col("r.id").alias("id"), F.col("r.text_key").alias("text_key"), "r.n", "r.signature", "first"), "sets", temporary)
-    keys = save(sets.select("node", "signature").mapInArrow(_keys, "key long, node long"), "keys", temporary)
+    keys = save(sets.select("node", "signature").mapInArrow(lean(_keys), "key long, node long"), "keys", temporary)
     full = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     shared = save(keys.join(full, "key"), "shared", temporary)  # only buckets with two nodes or more matter from here on
     met_often = save(shared.groupBy("node").agg(F.sum("held").alias("meets")), "meets", temporary)
@@ -436,7 +436,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         met = met.distinct().withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("order", "a"))).filter(F.col("place") <= LEADERS)
         pairs = met.select("a", "b")
         signed_pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-        pairs = save(signed_pairs.select("a", "b", "x", "y").mapInArrow(_near, "a long, b long"), "pairs", temporary)
+        pairs = save(signed_pairs.select("a", "b", "x", "y").mapInArrow(lean(_near), "a long, b long"), "pairs", temporary)
         stars = components(confirm(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), temporary).unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)
 
     # buckets in which classes still meet: every pair of nodes of different classes within the distance, block against block
@@ -455,7 +455,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    lists = save(rows.select("key", "i", "j", "part", "block", "node", "root", "n", "signature", "alone", "rare").mapInArrow(_apart, LISTS), "apart", temporary)
+    lists = save_lean(rows.select("key", "i", "j", "part", "block", "node", "root", "n", "signature", "alone", "rare").mapInArrow(lean(_apart), LISTS), "apart", temporary)
     if lists.limit(1).count():
         links = confirm_blocks(lists, texts, temporary)
         stars = components(links.unionByName(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))), temporary)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldrecon.llm.common import register, save, table, text_key
+from fieldrecon.llm.common import lean, register, save, save_lean, table, text_key
 from fieldrecon.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -35,7 +35,7 @@ END = 1
 #: pieces packed by one task
 GROUP = 20_000
 #: characters of text encoded at a time
-BATCH = 2_000_000
+BATCH = 500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -81,7 +81,7 @@ def cut(docs: DataFrame, doc_id: str, text: str, capacity: int, path: str, with_
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, [f.name for f in kept] + ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(pieces, f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(lean(pieces, uses_caches=True), f"{kinds}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -210,7 +210,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, extra: list | None = None) -> DataFrame:
     """One row per piece: id, extra columns, piece, start, length, ids_crc32, sequence_id, offset, and ids (binary) if asked for."""
     pieces = cut(docs, doc_id, text, capacity, path or tokenizer_path(), with_ids, extra)
-    pieces = save(pieces.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
+    pieces = save_lean(pieces.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     return pieces.join(place(pieces.select("row_no", "length"), capacity), "row_no").drop("row_no")
 
 

@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from fieldrecon.llm.common import worker_cache
 from fieldrecon.llm.shingles import runs
 
 #: pieces kept in a worker's cache (about 40 bytes each)
@@ -127,3 +128,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and tokenizer file."""
     return Encoder(path)
+
+
+worker_cache(encoder.cache_clear)

@@ -87,3 +87,33 @@ def test_the_rest_does_not_import_the_subpackage():
     for path in [*(root / "fieldrecon").rglob("*.py"), *(root / "tools").rglob("*.py"), *(root / "tests").glob("*.py"), root / "bench.py"]:
         if "llm" not in path.relative_to(root).parts:
             assert "fieldrecon.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
+
+
+def test_workers_get_small_batches_and_keep_nothing_of_other_steps(spark):
+    """Texts reach workers in batches of bounded bytes, and a step that doesn't tokenize drops the tokenizer of its worker."""
+    from fieldrecon.llm import common, packing
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(8000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id, ' '), 300)").alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    seen = common.save_lean(texts.mapInArrow(common.lean(sizes), "n long"), "sizes").collect()
+    assert max(r["n"] for r in seen) <= 1.1 * common.ARROW_BATCH and sum(r["n"] for r in seen) > 2 * common.ARROW_BATCH
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "1m")  # a session that asks for less gets less, and keeps its setting
+    try:
+        seen = common.save_lean(texts.mapInArrow(sizes, "n long"), "sizes").collect()
+        assert max(r["n"] for r in seen) <= 1.1 * (1 << 20) and spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+    from fieldrecon.llm.tokens import encoder
+
+    first = encoder(packing.tokenizer_path())
+    assert list(common.lean(iter, uses_caches=True)([1, 2])) == [1, 2] and encoder(packing.tokenizer_path()) is first
+    assert list(common.lean(iter)([1, 2])) == [1, 2] and encoder.cache_info().currsize == 0
